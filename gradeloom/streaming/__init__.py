@@ -1,0 +1,6 @@
+"""No streaming operator of its own.
+
+Report parsing, cleaning, tagging and text statistics are stateless column
+expressions, so they apply to a streaming DataFrame as they stand (see
+``tests/test_streaming.py``). Nothing in this engine needs a watermark or state.
+"""
