@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,15 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column used inside a lambda is computed again for every element, and one used
+    several times may be computed as often. A lambda variable is computed once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column | str) -> Column:
     """Trim every Unicode white-space character, in time linear in what is trimmed."""
     return F.trim(_c(col), F.lit(P.SPACE_CHARS))
@@ -109,7 +118,7 @@ def words(text: Column | str) -> Column:
 def keywords(text: Column | str, terms: Sequence[str] = P.KEYWORDS) -> Column:
     """Terms that occur as substrings, in the order of ``terms``."""
     lowered = F.lower(filled(text))
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(lowered, t))
+    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in terms]))
 
 
 def keyword_items(col: Column | str, *, keep_empty: bool) -> Column:
@@ -143,16 +152,18 @@ def content_words(tokens: Column | str, stop_words: Sequence[str] = ENGLISH) ->
 
 def ngrams(tokens: Column | str, low: int, high: int) -> Column:
     """All n-grams of ``low`` to ``high`` tokens, joined by one space."""
-    toks = _c(tokens)
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(toks)
-        else:
-            starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1)))
-            grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(toks, i, F.lit(n)), " "))
-            parts.append(F.coalesce(grams, F.array().cast("array<string>")))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    def of(toks: Column) -> Column:
+        gram, parts = toks, [toks] if low == 1 else []
+        for n in range(2, high + 1):
+            # Each n-gram is the (n-1)-gram at its place and the token n - 1 places on.
+            count = F.greatest(F.size(toks) - (n - 1), F.lit(0))
+            gram = F.zip_with(F.slice(gram, F.lit(1), count), F.slice(toks, F.lit(n), count),
+                              lambda g, t: F.concat(g, F.lit(" "), t))
+            if n >= low:
+                parts.append(gram)
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return bind(_c(tokens), of)
 
 
 def term_tokens(text: Column | str, stop_words: Sequence[str] = ENGLISH) -> Column:

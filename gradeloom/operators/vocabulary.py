@@ -72,6 +72,5 @@ def keyword_matrix(df: DataFrame, keywords: str, vocabulary: DataFrame, row_id:
     terms = [r["term"] for r in sorted(local.collect(), key=lambda r: r["idx"])]
     have = F.coalesce(_keyword_list(df, keywords, keep_empty=False), F.array().cast("array<string>"))
     return (df.select(row_id, have.alias("_have"))
-            .select(row_id, F.transform(F.array(*[F.lit(t) for t in terms]),
-                                        lambda t: F.array_contains(F.col("_have"), t).cast("int"))
+            .select(row_id, F.array(*[F.array_contains("_have", t).cast("int") for t in terms])
                     .alias("features")))
