@@ -290,6 +290,11 @@ def oracle_sql() -> dict[str, str]:
         union all select p_partkey, 'p_type', p_type from part
         union all select p_partkey, 'p_name', p_name from part)
       select p_partkey, feature, category, position from cells join c using (feature, category)"""
+    cat = lambda c: f"""(select {c}, cast(row_number() over (order by {c}) - 1 as integer) as i
+        from part where p_partkey % 5 <> 0 group by {c})"""
+    out["onehot_vectors"] = f"""select p_partkey, b.i as p_brand_position, t.i as p_type_position, n.i as p_name_position
+      from part left join {cat('p_brand')} b using (p_brand) left join {cat('p_type')} t using (p_type)
+      left join {cat('p_name')} n using (p_name)"""
     out["random_sample"] = """select doc_id from documents order by md5(doc_id || '42'), cast(doc_id as varchar) limit 103"""
     gold = f"{GOLD}, {metric_ctes(GOLD_ROWS)}"
     out["confusion_matrix"] = f"with {gold} select truth, predicted, n from conf"

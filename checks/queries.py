@@ -239,7 +239,8 @@ def onehot_vectors(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", *CATEGORICAL)
     model = onehot.fit_onehot(part.filter("p_partkey % 5 <> 0"), CATEGORICAL)
     out = onehot.onehot_vectors(model, part, CATEGORICAL)
-    return out.select("p_partkey", *[F.unwrap_udt(f"{c}_onehot").alias(f"{c}_onehot") for c in CATEGORICAL])
+    return out.select("p_partkey", *[F.get(F.unwrap_udt(f"{c}_onehot")["indices"], 0).alias(f"{c}_position")
+                                     for c in CATEGORICAL])
 
 
 # --- metrics and evaluation ------------------------------------------------
@@ -358,7 +359,7 @@ def _model_query(*names: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _quality_features(spark, sf_dir)
         train = rows.filter("split = 'train'")
-        chosen = models.make_estimators(train.count(), rounds=5, trees=20, forest_depth=8)
+        chosen = models.make_estimators(train.count(), rounds=5, trees=20, forest_depth=8, max_iter=20)
         fitted = models.fit_models({n: chosen[n] for n in names}, train)
         scored = models.score_all(fitted, rows.filter("split <> 'train'"))
         kept = [f"{n}_prediction" for n in names] + [f"{n}_probability" for n in names]

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as X
 
+GRAM_WIDTH = 5_000
+
 
 def combine_features(df: DataFrame, parts: Sequence[str], out: str = "features") -> DataFrame:
     """Side-by-side stack of vector and number columns; sparse stays sparse."""
@@ -27,12 +30,24 @@ def add_text_statistics(df: DataFrame, text: str) -> DataFrame:
 def truncated_svd(df: DataFrame, features: str, k: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Singular values and right vectors (features x k) of the uncentred rows.
 
-    The decomposition runs distributed over the rows; only k values and k vectors
-    of feature width come back. Signs are free.
+    Up to GRAM_WIDTH features one distributed pass sums the Gram matrix, whose size
+    depends on the features alone, and its eigenvectors are the right vectors. Wider
+    rows go through the iterative solver, which reads them many times, so from cache.
+    Signs are free.
     """
-    rows = MLUtils.convertVectorColumnsFromML(df.select(features), features)
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    return svd.s.toArray(), svd.V.toArray()
+    vectors = MLUtils.convertVectorColumnsFromML(df.select(features), features)
+    rows = RowMatrix(vectors)
+    if rows.numCols() <= GRAM_WIDTH:
+        gram = rows.computeGramianMatrix().toArray()
+        values, v = np.linalg.eigh(gram)
+        order = np.argsort(values)[::-1][:k]
+        return np.sqrt(np.clip(values[order], 0.0, None)), v[:, order]
+    cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        svd = RowMatrix(cached).computeSVD(k, computeU=False)
+        return svd.s.toArray(), svd.V.toArray()
+    finally:
+        cached.unpersist()
 
 
 def reduce_rows(df: DataFrame, features: str, right_vectors: np.ndarray, out: str = "reduced") -> DataFrame:

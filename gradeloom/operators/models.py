@@ -27,7 +27,7 @@ from gradeloom.operators.split import stratified_folds
 # Training parameters of the five classifiers.
 LOGISTIC = {"C": 1.0, "max_iter": 1000}
 FOREST = {"n_estimators": 100, "max_depth": 20}
-SVM = {"C": 1.0}
+SVM = {"C": 1.0, "max_iter": 100}
 BOOSTED = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1}
 LEAFY = {"n_estimators": 100, "max_leaves": 31, "learning_rate": 0.1}
 SEED = 42
@@ -38,11 +38,11 @@ MODEL_NAMES = ("logistic_regression", "random_forest", "svm", "gradient_boosting
 
 def _one_vs_rest(base: Estimator) -> OneVsRest:
     return OneVsRest(classifier=base, featuresCol="features", labelCol="label",
-                     rawPredictionCol="raw", predictionCol="ovr_prediction")
+                     predictionCol="ovr_prediction")
 
 
 def make_estimators(n_rows: int, *, rounds: int | None = None, trees: int | None = None,
-                    forest_depth: int | None = None, seed: int = SEED,
+                    forest_depth: int | None = None, max_iter: int | None = None, seed: int = SEED,
                     multinomial: bool = False) -> dict[str, Estimator]:
     """The five classifiers by name, in fitting order.
 
@@ -51,21 +51,21 @@ def make_estimators(n_rows: int, *, rounds: int | None = None, trees: int | None
     """
     logistic = LogisticRegression(featuresCol="features", labelCol="label",
                                   regParam=1.0 / (LOGISTIC["C"] * n_rows), standardization=False,
-                                  maxIter=LOGISTIC["max_iter"])
+                                  maxIter=max_iter or LOGISTIC["max_iter"])
     if multinomial:
         logistic = logistic.copy()
-        logistic.setFamily("multinomial").setRawPredictionCol("raw").setPredictionCol("ovr_prediction")
+        logistic.setFamily("multinomial").setPredictionCol("ovr_prediction")
     boosted = dict(featuresCol="features", labelCol="label", seed=seed)
     return {
         "logistic_regression": logistic if multinomial else _one_vs_rest(logistic),
         "random_forest": RandomForestClassifier(
-            featuresCol="features", labelCol="label", rawPredictionCol="raw",
+            featuresCol="features", labelCol="label",
             predictionCol="ovr_prediction", numTrees=trees or FOREST["n_estimators"],
             maxDepth=forest_depth or FOREST["max_depth"], featureSubsetStrategy="sqrt", seed=seed,
             cacheNodeIds=False, maxMemoryInMB=512),
         "svm": _one_vs_rest(LinearSVC(featuresCol="features", labelCol="label",
                                       regParam=1.0 / (SVM["C"] * n_rows), standardization=False,
-                                      maxIter=100)),
+                                      maxIter=max_iter or SVM["max_iter"])),
         "gradient_boosting": _one_vs_rest(GBTClassifier(
             maxIter=rounds or BOOSTED["n_estimators"], maxDepth=BOOSTED["max_depth"],
             stepSize=BOOSTED["learning_rate"], **boosted)),
@@ -109,16 +109,16 @@ class FittedModel:
         if self.sigmoids is None:
             out = scored.withColumn(prob, vector_to_array("probability"))
         else:
-            raw = vector_to_array("raw")
+            raw = vector_to_array("rawPrediction")
             squashed = F.array(*[_sigmoid(raw[i] * a + b) for i, (a, b) in enumerate(self.sigmoids)])
             out = scored.withColumn("_squashed", squashed).withColumn(prob, _normalised(F.col("_squashed")))
         return (out.withColumn(pred, F.col("ovr_prediction"))
-                .drop("raw", "probability", "ovr_prediction", "_squashed"))
+                .drop("rawPrediction", "probability", "ovr_prediction", "_squashed"))
 
 
 def _fit_margin_sigmoids(model: OneVsRestModel, train: DataFrame, n_classes: int) -> list[tuple[float, float]]:
     """A logistic curve on the margin of each class, for models without probabilities."""
-    margins = model.transform(train).select("label", vector_to_array("raw").alias("raw"))
+    margins = model.transform(train).select("label", vector_to_array("rawPrediction").alias("raw"))
     curves = []
     for i in range(n_classes):
         one = margins.select((F.col("label") == i).cast("double").alias("label"),
