@@ -27,11 +27,14 @@ from gradeloom.operators.split import stratified_folds
 # Training parameters of the five classifiers.
 LOGISTIC = {"C": 1.0, "max_iter": 1000}
 FOREST = {"n_estimators": 100, "max_depth": 20}
-SVM = {"C": 1.0, "max_iter": 100}
+SVM = {"C": 1.0}
 BOOSTED = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1}
 LEAFY = {"n_estimators": 100, "max_leaves": 31, "learning_rate": 0.1}
 SEED = 42
 
+# Upper bound for the linear SVM solver.
+SVM_ITERATIONS = 100
+
 MODEL_NAMES = ("logistic_regression", "random_forest", "svm", "gradient_boosting",
                "leaf_boosting")
 
@@ -65,7 +68,7 @@ def make_estimators(n_rows: int, *, rounds: int | None = None, trees: int | None
             cacheNodeIds=False, maxMemoryInMB=512),
         "svm": _one_vs_rest(LinearSVC(featuresCol="features", labelCol="label",
                                       regParam=1.0 / (SVM["C"] * n_rows), standardization=False,
-                                      maxIter=max_iter or SVM["max_iter"])),
+                                      maxIter=max_iter or SVM_ITERATIONS)),
         "gradient_boosting": _one_vs_rest(GBTClassifier(
             maxIter=rounds or BOOSTED["n_estimators"], maxDepth=BOOSTED["max_depth"],
             stepSize=BOOSTED["learning_rate"], **boosted)),
