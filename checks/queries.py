@@ -11,6 +11,7 @@ from checks.derived import OPERATIVE_SQL, ULTRASOUND_SQL
 from gradeloom.functions import text as X
 from gradeloom.operators import (cases, evaluation, labels, matrix, metrics, models, onehot, reports,
                                  split, text_prep, tfidf, vocabulary)
+from gradeloom.sources.tables import balanced
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
+
+
 def ultrasound_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ULTRASOUND_SQL.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+    return spark.sql(ULTRASOUND_SQL.replace("from orders", "from {orders}"), orders=_orders(spark, sf_dir))
 
 
 def operative_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(OPERATIVE_SQL.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+    return spark.sql(OPERATIVE_SQL.replace("from orders", "from {orders}"), orders=_orders(spark, sf_dir))
 
 
 def ultrasound(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def operative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return balanced(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def merged(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -222,8 +227,8 @@ def entity_features(spark, sf_dir):
 
 
 def text_statistics(spark, sf_dir):
-    stats = X.text_statistics("text")
-    return rounded(documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in stats.items()]), "avg_word_length")
+    stats = text_prep.text_statistics(documents(spark, sf_dir), "text")
+    return rounded(stats.drop("text", "lang"), "avg_word_length")
 
 
 CATEGORICAL = ["p_brand", "p_type", "p_name"]
@@ -343,7 +348,7 @@ def _quality_features(spark, sf_dir, max_features=100):
     rows = documents(spark, sf_dir).join(truth, "doc_id")
     rows = split.stratified_split(rows, "label", ["doc_id"])
     model = tfidf.fit_tfidf(rows.filter("split = 'train'"), "text", max_features=max_features, ngram_range=(1, 1))
-    stats = matrix.add_text_statistics(model.transform(rows, "text"), "text")
+    stats = text_prep.text_statistics(model.transform(rows, "text"), "text")
     return (matrix.combine_features(stats, ["tfidf", "num_chars", "num_words", "avg_word_length"])
             .select("doc_id", "label", "split", "features"))
 

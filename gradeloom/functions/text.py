@@ -117,8 +117,10 @@ def words(text: Column | str) -> Column:
 
 def keywords(text: Column | str, terms: Sequence[str] = P.KEYWORDS) -> Column:
     """Terms that occur as substrings, in the order of ``terms``."""
-    lowered = F.lower(filled(text))
-    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in terms]))
+    def found(lowered: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in terms]))
+
+    return bind(F.lower(filled(text)), found)
 
 
 def keyword_items(col: Column | str, *, keep_empty: bool) -> Column:
@@ -127,23 +129,6 @@ def keyword_items(col: Column | str, *, keep_empty: bool) -> Column:
     return items if keep_empty else F.filter(items, lambda k: k != "")
 
 
-def text_statistics(text: Column | str) -> dict[str, Column]:
-    """Character count, word count and mean word length, from one regex pass.
-
-    With runs of white space collapsed to one space, the words number one more
-    than the spaces, and the other characters are the summed word lengths.
-    """
-    collapsed = F.trim(F.regexp_replace(filled(text), f"[{P.SPACE}]+", F.lit(" ")))
-    letters = F.char_length(F.replace(collapsed, F.lit(" "), F.lit("")))
-    n_words = F.when(letters == 0, F.lit(0)).otherwise(F.char_length(collapsed) - letters + 1)
-    return {
-        "num_chars": F.char_length(filled(text)),
-        "num_words": n_words,
-        "avg_word_length": F.when(letters == 0, F.lit(0.0)).otherwise(
-            letters.cast("double") / n_words),
-    }
-
-
 def content_words(tokens: Column | str, stop_words: Sequence[str] = ENGLISH) -> Column:
     """Alphabetic tokens that are not stop words (lengths are judged on the lemma)."""
     stops = list(stop_words)

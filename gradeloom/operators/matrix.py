@@ -13,8 +13,6 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions import text as X
-
 GRAM_WIDTH = 5_000
 
 
@@ -23,10 +21,6 @@ def combine_features(df: DataFrame, parts: Sequence[str], out: str = "features")
     return VectorAssembler(inputCols=list(parts), outputCol=out, handleInvalid="error").transform(df)
 
 
-def add_text_statistics(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumns({n: c.cast("double") for n, c in X.text_statistics(text).items()})
-
-
 def truncated_svd(df: DataFrame, features: str, k: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Singular values and right vectors (features x k) of the uncentred rows.
 

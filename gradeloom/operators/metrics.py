@@ -104,8 +104,10 @@ def score_counts(df: DataFrame, truth: str, scores: str) -> DataFrame:
     total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
     # Scores that do not add up to 1 are no probabilities, and have no AUC here.
     off = (F.abs(total - 1.0) > F.lit(1e-8) + F.lit(1e-5) * F.abs(total)).cast("int")
-    cells = df.select(F.col(truth).alias("_y"), off.alias("off"),
-                      F.posexplode(scores).alias("cls", "score"))
+    # The outer form: the plain one would score the rows twice, to test for no scores first.
+    cells = (df.select(F.col(truth).alias("_y"), off.alias("off"),
+                       F.posexplode_outer(scores).alias("cls", "score"))
+             .filter(F.col("cls").isNotNull()))
     is_pos = F.coalesce(F.col("_y") == F.col("cls"), F.lit(False)).cast("long")
     return cells.groupBy("cls", "score").agg(F.sum(is_pos).alias("pos"),
                                              F.sum(1 - is_pos).alias("neg"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as X
+from gradeloom.functions.patterns import SPACE
 from gradeloom.functions.stopwords import ENGLISH
 from gradeloom.operators.labels import encode_labels
 from gradeloom.operators.lookup import lookup_join
@@ -48,7 +49,8 @@ def lemmatize(df: DataFrame, tokens: str, dictionary: DataFrame, out: str,
     if not row_id:
         raise ValueError("a dictionary of this size needs row_id, the key of a row")
     ids = list(row_id)
-    exploded = df.select(*ids, F.posexplode(tokens).alias("_pos", "_token"))
+    exploded = (df.select(*ids, F.posexplode_outer(tokens).alias("_pos", "_token"))
+                .filter(F.col("_token").isNotNull()))
     table = pairs.select(F.col("form").alias("_form"), F.col("lemma").alias("_found"))
     joined = lookup_join(exploded, table, {"_token": "_form"}, "left", spread_by=[*ids, "_pos"],
                          small_rows=small_rows)
@@ -99,3 +101,20 @@ def prepare_texts(df: DataFrame, text: str, *, mode: str = "plain", stop_words:
 def prepare_dataset(df: DataFrame, text: str, label: str, mapping: DataFrame, **options) -> DataFrame:
     """Texts prepared as above, plus label_encoded from the label map."""
     return encode_labels(prepare_texts(df, text, **options), label, mapping)
+
+
+def text_statistics(df: DataFrame, text: str) -> DataFrame:
+    """Add num_chars, num_words and avg_word_length (0 without words), from one regex pass.
+
+    With runs of white space collapsed to one space, the words number one more than
+    the spaces, and the other characters are the summed word lengths. Each step is a
+    column of its own, so that none is computed twice.
+    """
+    spaced = df.withColumn("_spaced", F.trim(F.regexp_replace(X.filled(text), f"[{SPACE}]+", F.lit(" "))))
+    counted = spaced.withColumns({"_n": F.char_length("_spaced"),
+                                  "_letters": F.char_length(F.replace("_spaced", F.lit(" "), F.lit("")))})
+    n_words = F.when(F.col("_letters") == 0, F.lit(0)).otherwise(F.col("_n") - F.col("_letters") + 1)
+    worded = counted.withColumns({"num_chars": F.char_length(X.filled(text)), "num_words": n_words})
+    mean = F.when(F.col("num_words") == 0, F.lit(0.0)).otherwise(
+        F.col("_letters").cast("double") / F.col("num_words"))
+    return worded.withColumn("avg_word_length", mean).drop("_spaced", "_n", "_letters")

@@ -12,9 +12,15 @@ from gradeloom.operators.ranking import sorted_index
 from gradeloom.operators.sizes import SMALL_ROWS, broadcast_if_small, small_table
 
 
+def _items(df: DataFrame, items: Column | str, out: str) -> DataFrame:
+    """One row per item. The outer form with a filter after it reads the items once;
+    the plain form also tests their number before, which computes them a second time."""
+    return df.withColumn(out, F.explode_outer(items)).filter(F.col(out).isNotNull())
+
+
 def entity_vocabulary(df: DataFrame, entities: str, min_freq: int = 5) -> DataFrame:
     """(term, freq, idx): entities that occur ``min_freq`` times or more, index without gaps."""
-    counts = (df.select(F.explode(entities).alias("term")).groupBy("term")
+    counts = (_items(df.select(entities), entities, "term").groupBy("term")
               .agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= min_freq))
     return sorted_index(counts, "term")
 
@@ -31,9 +37,8 @@ def keyword_vocabulary(df: DataFrame, keywords: str) -> DataFrame:
 
     Comma-separated strings keep their empty items here, unlike in the features.
     """
-    items = df.filter(F.col(keywords).isNotNull()).select(
-        F.explode(_keyword_list(df, keywords, keep_empty=True)).alias("term"))
-    return sorted_index(items.distinct(), "term")
+    items = _items(df.select(keywords), _keyword_list(df, keywords, keep_empty=True), "term")
+    return sorted_index(items.select("term").distinct(), "term")
 
 
 def indicators(df: DataFrame, items: str, vocabulary: DataFrame, row_id: str,
@@ -43,8 +48,8 @@ def indicators(df: DataFrame, items: str, vocabulary: DataFrame, row_id: str,
     Repeats go within the row before anything is exploded. A vocabulary too large
     to broadcast is joined in slices (see ``lookup_join``).
     """
-    present = df.select(row_id, F.explode(F.array_distinct(
-        _keyword_list(df, items, keep_empty=False))).alias("_item"))
+    listed = F.array_distinct(_keyword_list(df, items, keep_empty=False))
+    present = _items(df.select(row_id, items), listed, "_item").drop(items)
     table = vocabulary.select(F.col("term").alias("_term"), F.col("term"), "idx")
     return (lookup_join(present, table, {"_item": "_term"}, spread_by=[row_id], small_rows=small_rows)
             .select(row_id, "idx", "term"))

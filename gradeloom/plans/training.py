@@ -36,7 +36,7 @@ def featurize(rows: DataFrame, model: tfidf.TfidfModel, keyword_vocab: DataFrame
     """Key, label, split and the stacked features of prepared rows, without a shuffle."""
     df = model.transform(rows, "processed_text", "tfidf")
     df = vocabulary.indicator_vectors(df, "medical_keywords", keyword_vocab, "keyword_flags")
-    df = matrix.add_text_statistics(df, "processed_text")
+    df = text_prep.text_statistics(df, "processed_text")
     df = matrix.combine_features(df, ["tfidf", "keyword_flags", "num_chars", "num_words", "avg_word_length"])
     return df.select(*settings.row_key, F.col(settings.label).alias("grade"),
                      F.col("label_encoded").cast("double").alias("label"), "split", "features")

@@ -34,6 +34,16 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
         raise
 
 
+def balanced(scan: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are task slots.
+
+    Text work is bound by processor time, and a file with few row groups would keep
+    most slots idle. Large scans have partitions enough and pass unchanged.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)
+
+
 def write_table(df: DataFrame | None, path: str, fmt: str = "parquet",
                 partition_by: Sequence[str] = ()) -> bool:
     """Write ``df`` and say whether there was anything to write.

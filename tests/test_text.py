@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as X
 from gradeloom.functions.stopwords import ENGLISH
-from gradeloom.operators.text_prep import lemmatize, normalize_tokens, prepare_texts
+from gradeloom.operators.text_prep import lemmatize, normalize_tokens, prepare_texts, text_statistics
 
 
 def one(spark, value, column):
@@ -46,8 +46,7 @@ def test_clean_and_statistics_match_python(spark):
 
     gather()
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    stats = X.text_statistics("t")
-    rows = df.select("t", X.clean("t").alias("c"), X.words("t").alias("w"), *[c.alias(n) for n, c in stats.items()]).collect()
+    rows = text_statistics(df, "t").withColumns({"c": X.clean("t"), "w": X.words("t")}).collect()
     for r in rows:
         words = r["t"].split()
         assert r["c"] == python_clean(r["t"]), repr(r["t"])
@@ -60,7 +59,7 @@ def test_clean_and_statistics_match_python(spark):
 def test_statistics_of_nothing(spark):
     for value in ("", None):
         df = spark.createDataFrame([(value,)], "t string")
-        assert tuple(df.select(*X.text_statistics("t").values()).first()) == (0, 0, 0.0)
+        assert tuple(text_statistics(df, "t").drop("t").first()) == (0, 0, 0.0)
 
 
 def test_keywords_are_substrings_in_list_order(spark):
