@@ -29,7 +29,10 @@ def ultrasound_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operative_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(OPERATIVE_SQL.replace("from orders", "from {orders}"), orders=_orders(spark, sf_dir))
+    # The same rows as the text's join to its two constants, without a join.
+    twice = _orders(spark, sf_dir).withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
+    sql = OPERATIVE_SQL.replace("from orders cross join (select 0 as v union all select 1 as v) d", "from {twice}")
+    return spark.sql(sql, twice=twice)
 
 
 def ultrasound(spark: SparkSession, sf_dir: str) -> DataFrame:
