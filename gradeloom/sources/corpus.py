@@ -10,7 +10,9 @@ def read_report_files(spark: SparkSession, folder: str, suffix: str = ".txt") ->
     """(report_id, report_text), one row per file below ``folder``; the id is the file stem."""
     files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
              .text(folder, wholetext=True))
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"(?<=.)\.[^.]+$", F.lit(""))
+    # File names come percent-encoded, with plus signs as they are.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]+$", F.lit(""))
     return files.select(stem.alias("report_id"), F.col("value").alias("report_text"))
 
 
