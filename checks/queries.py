@@ -255,14 +255,16 @@ def onehot_vectors(spark, sf_dir):
 
 
 def gold(spark, sf_dir):
-    pairs = merged(spark, sf_dir).filter("severity_grade_or is not null and severity_grade_us is not null")
-    return pairs.select(F.concat("report_id_us", F.lit("/"), "report_id_or").alias("report_id"),
-                        F.col("severity_grade_or").alias("surgeon_adjudicated_grade"),
-                        F.col("severity_grade_us").alias("manually_extracted_grade"))
+    """Two grades per case; some are missing."""
+    return merged(spark, sf_dir).select(
+        F.concat("report_id_us", F.lit("/"), "report_id_or").alias("report_id"),
+        F.col("severity_grade_or").alias("surgeon_adjudicated_grade"),
+        F.col("severity_grade_us").alias("manually_extracted_grade"))
 
 
 def gold_matrix(spark, sf_dir):
-    return metrics.confusion_matrix(gold(spark, sf_dir), "surgeon_adjudicated_grade", "manually_extracted_grade")
+    return metrics.confusion_matrix(gold(spark, sf_dir), "surgeon_adjudicated_grade",
+                                    "manually_extracted_grade", labelled_only=True)
 
 
 def confusion_matrix(spark, sf_dir):
@@ -309,7 +311,7 @@ RESULT_NUMBERS = ("accuracy", "precision", "recall", "f1_score", "auc", "kappa")
 
 
 def _annotator(spark, sf_dir):
-    return evaluation.evaluate_annotator(gold(spark, sf_dir))
+    return evaluation.evaluate_annotator(gold(spark, sf_dir), labelled_only=True)
 
 
 def annotator_eval(spark, sf_dir):

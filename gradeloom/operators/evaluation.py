@@ -30,13 +30,14 @@ def evaluate_predictions(df: DataFrame, truth: str, predicted: str, method: str,
 
 def evaluate_annotator(df: DataFrame, method: str = "Manual Extraction", *,
                        gold: str = "surgeon_adjudicated_grade",
-                       annotated: str = "manually_extracted_grade") -> DataFrame:
+                       annotated: str = "manually_extracted_grade",
+                       labelled_only: bool = False) -> DataFrame:
     """Result row for a human annotator, plus ``unseen_rows``.
 
     Grades that no gold label ever uses count as errors; ``unseen_rows`` says how
     many rows have one.
     """
-    matrix = metrics.confusion_matrix(df, gold, annotated)
+    matrix = metrics.confusion_matrix(df, gold, annotated, labelled_only=labelled_only)
     never_gold = F.when(F.col("support") == 0, F.col("n_predicted")).otherwise(F.lit(0))
     unseen = metrics.class_counts(matrix).agg(F.sum(never_gold).alias("n"))
     return _result(metrics.summary(matrix), method).withColumn("unseen_rows", unseen.scalar())

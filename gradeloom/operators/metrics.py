@@ -17,10 +17,18 @@ def pair_predictions(truth: DataFrame, predictions: DataFrame, row_id: str) -> D
     return truth.join(predictions, row_id, "inner")
 
 
-def confusion_matrix(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """(truth, predicted, n) of the pairs that occur."""
-    return (df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted"))
-            .agg(F.count(F.lit(1)).alias("n")))
+def confusion_matrix(df: DataFrame, truth: str, predicted: str, *, labelled_only: bool = False) -> DataFrame:
+    """(truth, predicted, n) of the pairs that occur.
+
+    ``labelled_only`` leaves out rows without a label on either side. They go after
+    the aggregation, so that labels which are extracted on the fly are not computed
+    twice, once for a filter below it.
+    """
+    pairs = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted"))
+    if not labelled_only:
+        return pairs.agg(F.count(F.lit(1)).alias("n"))
+    both = F.col(truth).isNotNull() & F.col(predicted).isNotNull()
+    return pairs.agg(F.count_if(both).alias("n")).filter(F.col("n") > 0)
 
 
 def confusion_wide(matrix: DataFrame, classes: list) -> DataFrame:

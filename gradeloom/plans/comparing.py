@@ -28,7 +28,7 @@ def run_comparison(spark: SparkSession, folder: str, *, gold: DataFrame | None =
     results = [evaluation.evaluate_predictions(
         scored, "label", f"{fitted.name}_prediction", model.replace("_", " ").title(),
         probability=f"{fitted.name}_probability")]
-    results.append(None if gold is None else evaluation.evaluate_annotator(gold).drop("unseen_rows"))
+    results.append(None if gold is None else evaluation.evaluate_annotator(gold, labelled_only=True).drop("unseen_rows"))
     if responses is None:
         results.append(None)
     else:

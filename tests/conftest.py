@@ -16,6 +16,9 @@ def spark():
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               # The tables here are tiny: compiling each plan would take most of the time.
+               .config("spark.sql.codegen.wholeStage", "false")
+               .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
                .config("spark.driver.memory", "8g")
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
