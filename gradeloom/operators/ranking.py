@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +29,28 @@ def _ranged(df: DataFrame, sort_cols: Sequence[str]) -> DataFrame:
     return cut_lineage(placed)
 
 
+def _local_or_ranged(df: DataFrame, sort_cols: Sequence[str],
+                     small_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """``df`` as a local table, or in ranges if it is too large; ``df`` is computed once."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        local = small_table(kept, small_rows)
+        return (local, None) if local is not None else (None, _ranged(kept, sort_cols))
+    finally:
+        kept.unpersist()
+
+
 def running_total(df: DataFrame, group: str, order: str, value: str, out: str,
                   small_rows: int = SMALL_ROWS) -> DataFrame:
     """Sum of ``value`` over the rows of the group that sort before the row.
 
     ``order`` is unique within a group.
     """
-    local = small_table(df, small_rows)
+    local, ranged = _local_or_ranged(df, [group, order], small_rows)
     if local is not None:
         w = (Window.partitionBy(group).orderBy(order)
              .rowsBetween(Window.unboundedPreceding, -1))
         return local.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    ranged = _ranged(df, [group, order])
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (ranged.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
               .select(F.col(group).alias("_g"), F.col("_range").alias("_r"),
@@ -56,12 +67,12 @@ def running_total(df: DataFrame, group: str, order: str, value: str, out: str,
 def sorted_index(distinct: DataFrame, key: str, out: str = "idx",
                  small_rows: int = SMALL_ROWS) -> DataFrame:
     """0, 1, 2, ... in the order of the distinct column ``key``; a NULL comes last."""
-    local = small_table(distinct, small_rows)
+    flagged = distinct.withColumn("_missing", F.col(key).isNull())
+    local, ranged = _local_or_ranged(flagged, ["_missing", key], small_rows)
     if local is not None:
-        w = Window.orderBy(F.col(key).asc_nulls_last())
-        return local.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-    missing = F.col(key).isNull()
-    ranged = _ranged(distinct.withColumn("_missing", missing), ["_missing", key])
+        # At most small_rows rows, so one ordered window is enough.
+        w = Window.orderBy("_missing", key)
+        return local.withColumn(out, (F.row_number().over(w) - 1).cast("long")).drop("_missing")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, so this window is as small as the number of partitions.
     shifts = (ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A small table may hold this many rows and bytes; anything larger stays distributed.
 SMALL_ROWS = 100_000
@@ -15,13 +17,15 @@ SMALL_BYTES = 64 * 1024 * 1024
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     """``df`` as a local table if it is small, else None.
 
-    At most ``max_rows + 1`` rows ever reach the driver. The result has no
-    lineage, so later uses do not recompute ``df``.
+    At most ``max_rows + 1`` rows ever reach the driver, taken partition by partition,
+    so a large table is recognised from its first rows. The result has no lineage:
+    later uses do not recompute ``df``.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > SMALL_BYTES:
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
         return None
-    return df.sparkSession.createDataFrame(table, df.schema)
+    table = pa.Table.from_pylist([r.asDict(recursive=True) for r in rows], to_arrow_schema(df.schema))
+    return None if table.nbytes > SMALL_BYTES else df.sparkSession.createDataFrame(table, df.schema)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:

@@ -8,7 +8,9 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from checks import queries as Q
 from gradeloom.operators import matrix, onehot, tfidf, vocabulary
+from tests.conftest import SF
 
 DOCS = ["red wall red", "red wall thick", "wall blue", "the red", "red blue sky", None]
 
@@ -42,6 +44,19 @@ def test_tfidf_frequency_cuts_and_ties(spark, docs):
     assert "sky" in tfidf.fit_tfidf(docs, "text", min_df=1).terms
 
 
+@pytest.mark.parametrize("k", [5, 60, 5000])
+@pytest.mark.parametrize("n", [2, 3])
+def test_narrowed_ngrams_change_nothing(spark, k, n):
+    """The kept terms are those of counting every n-gram."""
+    docs = Q.documents(spark, SF).filter("lang = 'en'").limit(60)
+    docs = spark.createDataFrame(docs.toArrow())
+    def fit(words):
+        return {tuple(r) for r in tfidf.tfidf_vocabulary(docs, "text", max_features=k, ngram_range=(1, n), min_df=1,
+                                                         frequent_words=words).collect()}
+    everything = fit(1)
+    assert fit(10_000) == everything and len(everything) == min(k, len(everything))
+
+
 def test_tfidf_transform_needs_no_shuffle(spark, docs):
     model = tfidf.fit_tfidf(docs, "text")
     plan = model.transform(docs, "text")._jdf.queryExecution().executedPlan().toString()
