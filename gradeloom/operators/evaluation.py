@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as X
 from gradeloom.operators import metrics
+from gradeloom.operators.sizes import small_table
 from gradeloom.operators.split import random_sample
 
 RESULT_COLUMNS = ("method", "accuracy", "precision", "recall", "f1_score", "auc", "kappa", "sample_size")
@@ -47,10 +48,14 @@ def evaluate_responder(responses: DataFrame, truth: DataFrame, label: str, metho
                        row_id: str = "report_id", sample_size: int | None = None,
                        seed: int = 42) -> DataFrame:
     """Result row for stored free-text answers (row_id, response), on a sample of the truth."""
-    rows = truth.select(row_id, label)
+    rows, answers = truth.select(row_id, label), responses.select(row_id, "response")
     if sample_size is not None:
         rows = random_sample(rows, sample_size, [row_id], seed=seed)
-    paired = rows.join(responses.select(row_id, "response"), row_id, "left")
+        local = small_table(rows)
+        if local is not None:
+            # Only the answers of the sample are needed, so the others are not shuffled.
+            rows, answers = local, answers.join(F.broadcast(local.select(row_id)), row_id, "left_semi")
+    paired = rows.join(answers, row_id, "left")
     graded = paired.withColumn("_grade", X.response_grade("response"))
     return evaluate_predictions(graded, label, "_grade", method)
 

@@ -8,7 +8,7 @@ from gradeloom.plans.training import run_full
 from tests.conftest import SF
 
 SMALL = Settings(max_features=60, rounds=2, trees=5, forest_depth=5, max_iter=5,
-                 models=("logistic_regression", "random_forest", "svm", "gradient_boosting"))
+                 models=("logistic_regression", "random_forest", "svm"))
 
 
 def test_extract_train_compare(spark, tmp_path):
