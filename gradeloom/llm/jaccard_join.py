@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import words as W
 from gradeloom.llm.components import components
-from gradeloom.llm.storage import stored
+from gradeloom.llm.storage import small_batches, stored
 
 SKETCH = 1 << 18
 LIST_MAX = 8
@@ -78,7 +78,8 @@ def _count(k: int):
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
     """How many (text, gram) pairs fall into each of SKETCH counters."""
     rows = docs.select("text").mapInArrow(_count(k), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()  # at most SKETCH rows
+    with small_batches(docs.sparkSession):
+        table = rows.toArrow()  # at most SKETCH rows
     out = np.zeros(SKETCH, np.int64)
     out[table["bucket"].to_numpy()] = table["n"].to_numpy()
     return out

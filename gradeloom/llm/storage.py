@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,11 +17,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/gradeloom-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: str = "8m") -> Iterator[None]:
+    """Arrow batches of few bytes while a job starts: rows here carry whole texts and sets."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: lineage ends there, and a lost executor loses nothing.
 
     The files stay until the folder is cleaned, since a lazy result may still read them.
     """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
