@@ -30,7 +30,7 @@ from gradeloom.llm import words as W
 from gradeloom.llm.components import components
 from gradeloom.llm.storage import small_batches, stored
 
-SKETCH = 1 << 18
+SKETCH, PART = 1 << 22, 1 << 12  # counters, and how many of them travel together
 LIST_MAX = 8
 LEVELS = 4
 BROADCAST_IDS = 500_000
@@ -59,30 +59,40 @@ def text_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) % SKETCH
+    return (h >> np.uint64(40)).astype(np.int64) % SKETCH  # 24 bits
 
 
 def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.int32)
         for batch in batches:
-            for s in text_sets(batch.column(0).to_pylist(), k):
-                total += np.bincount(_bucket(s), minlength=SKETCH) if len(s) > SKETCH // 8 else 0
-                if len(s) <= SKETCH // 8:
-                    np.add.at(total, _bucket(s), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+            sets = list(text_sets(batch.column(0).to_pylist(), k))
+            np.add.at(total, _bucket(np.concatenate([np.zeros(0, np.uint64), *sets])), 1)
+        parts = total.reshape(-1, PART)
+        used = np.flatnonzero(parts.any(1))
+        for some in np.array_split(used, max(1, len(used) // 256)):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[i].tobytes() for i in some], pa.binary())],
+                                             ["part", "counts"])
     return run
 
 
+def _add_up(rows: pa.Table) -> pa.Table:
+    total = np.zeros(PART, np.int64)
+    for c in rows["counts"]:
+        total += np.frombuffer(c.as_py(), np.int32)
+    return pa.table({"part": rows["part"][:1], "counts": pa.array([np.minimum(total, 2 ** 31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
     """How many (text, gram) pairs fall into each of SKETCH counters."""
-    rows = docs.select("text").mapInArrow(_count(k), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    shape = "part long, counts binary"
+    rows = docs.select("text").mapInArrow(_count(k), shape).groupBy("part").applyInArrow(_add_up, shape)
     with small_batches(docs.sparkSession):
-        table = rows.toArrow()  # at most SKETCH rows
-    out = np.zeros(SKETCH, np.int64)
-    out[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    return out
+        table = rows.toArrow()  # SKETCH counters at most
+    out = np.zeros((SKETCH // PART, PART), np.int32)
+    for part, counts in zip(table["part"].to_pylist(), table["counts"], strict=True):
+        out[part] = np.frombuffer(counts.as_py(), np.int32)
+    return out.ravel()
 
 
 def _prefixes(k: int, percent: int, counts):
@@ -183,17 +193,19 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
                        F.col("n").alias("dn"), "n", "centre", "prefix")
     sets, links = None, []
     for level in range(LEVELS):
-        post = state.select("region", "id", "core", "dn", "n", "centre", F.explode("prefix").alias("h"))
-        chance = F.xxhash64("id", F.lit(level))
-        stats = post.groupBy("region", "h").agg(
-            F.count(F.lit(1)).alias("size"), F.count_if(~F.col("core")).alias("outer"),
-            F.max(F.struct("centre", "id"))["id"].alias("p0"), F.min(F.struct(chance, "id"))["id"].alias("p1")).filter("size > 1 and outer > 0")
-        lists = stored(post.join(stats, ["region", "h"]).drop("centre", "outer"))
+        # Most elements stand in one set only: they go through two narrow shuffles and no further.
+        post = state.select("region", "id", "core", F.explode("prefix").alias("h"))
+        stats = post.groupBy("region", "h").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("core")).alias("outer")).filter(
+            "size > 1 and outer > 0").drop("outer")
+        lists = stored(post.drop("core").join(stats, ["region", "h"]).join(state.drop("prefix"), ["region", "id"]))
         last = level == LEVELS - 1
         short = lists if last else lists.filter(F.col("size") <= LIST_MAX)
         pairs = _short_pairs(short, window)
         if not last:
-            long = lists.filter(F.col("size") > LIST_MAX).select(
+            hot = lists.filter(F.col("size") > LIST_MAX)
+            pivots = hot.groupBy("region", "h").agg(F.max(F.struct("centre", "id"))["id"].alias("p0"), F.min(
+                F.struct(F.xxhash64("id", F.lit(level)), "id"))["id"].alias("p1"))
+            long = hot.join(pivots, ["region", "h"]).select(
                 "region", "h", "id", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p"))
             far = long.filter("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
             pairs = pairs.unionByName(far.select("a", "b", F.lit(True).alias("pivot")))
