@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontam, toxicity, url_filter
+from gradeloom.llm import decontam, pii, toxicity, url_filter
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.jaccard_join import near_groups
 from gradeloom.llm.packing import pack
@@ -42,6 +42,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find_pii(docs, pii.fit_pii(docs)))
+
+
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
