@@ -10,6 +10,7 @@ be. A short list is compared pair by pair. A long one is split by pivots taken f
   rest the region is joined again in the same way, with each set replaced by its difference to the pivot: a
   link needs |x ^ y| <= c (|x| + |y|), so the two differences overlap, and their sizes, which are distances to the pivot,
   differ by no more than that window. Differences are short, so their prefixes are, too.
+- Sets that links connect by then are not compared again: a list or region within one component is done.
 - After ``LEVELS`` levels the lists left are compared pair by pair, so nothing is lost.
 
 Frequencies for the element order come from one array of counters over all texts, of fixed size; any order gives
@@ -164,13 +165,13 @@ _COMPARED = "a long, b long, pivot boolean, linked boolean, dist double, dn long
 
 
 def _short_pairs(lists: DataFrame, window: float) -> DataFrame:
-    """Pairs of each list, without core-core pairs and those that the distances to the region's pivot exclude."""
-    members = lists.groupBy("region", "h").agg(F.sort_array(F.collect_set(F.struct("id", "core", "dn", "n"))).alias("l"))
+    """Pairs of each list, without those that are connected already or that the distances to the region's pivot exclude."""
+    members = lists.groupBy("region", "h").agg(F.sort_array(F.collect_set(F.struct("id", "c", "dn", "n"))).alias("l"))
     first = members.select("l", F.posexplode("l").alias("i", "x"))
     pairs = first.select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y"))
     near = F.abs(F.col("x.dn") - F.col("y.dn")) <= window * (F.col("x.n") + F.col("y.n")) + 1e-9
     size = F.abs(F.col("x.n") - F.col("y.n")) <= window * (F.col("x.n") + F.col("y.n")) + 1e-9
-    return pairs.filter((F.col("x.id") != F.col("y.id")) & ~(F.col("x.core") & F.col("y.core")) & near & size).select(
+    return pairs.filter((F.col("x.c") != F.col("y.c")) & near & size).select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().select("a", "b", F.lit(False).alias("pivot"))
 
 
@@ -178,7 +179,7 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     """Documents (doc_id, n_shingles, rep) and links (a, b) between representatives.
 
     Documents of equal sets share the least doc_id as ``rep``. The links connect exactly the sets that pairs of
-    Jaccard at least percent/100 connect; within a core the links to the pivot stand for all others.
+    Jaccard at least percent/100 connect; within a component no more links than connect it are looked for.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
@@ -189,18 +190,21 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     window = (100 - percent) / (100 + percent)
     eps = 1 - percent / 100
     own = rows.join(reps.select("key", "rep"), "key").filter("doc_id = rep")
-    state = own.select(F.lit(-1).cast("long").alias("region"), F.col("rep").alias("id"), F.lit(False).alias("core"),
+    # c: the component of a set by the links so far. Connected sets need not be compared.
+    state = own.select(F.lit(-1).cast("long").alias("region"), F.col("rep").alias("id"), F.col("rep").alias("c"),
                        F.col("n").alias("dn"), "n", "centre", "prefix")
-    sets, links = None, []
+    sets, links, done = None, [], []
     for level in range(LEVELS):
         # Most elements stand in one set only: they go through two narrow shuffles and no further.
-        post = state.select("region", "id", "core", F.explode("prefix").alias("h"))
-        stats = post.groupBy("region", "h").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("core")).alias("outer")).filter(
-            "size > 1 and outer > 0").drop("outer")
-        lists = stored(post.drop("core").join(stats, ["region", "h"]).join(state.drop("prefix"), ["region", "id"]))
+        post = state.select("region", "id", "c", F.explode("prefix").alias("h"))
+        stats = post.groupBy("region", "h").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter(
+            "lo < hi").drop("lo", "hi")
+        lists = stored(post.drop("c").join(stats, ["region", "h"]).join(state.drop("prefix"), ["region", "id"]))
         last = level == LEVELS - 1
         short = lists if last else lists.filter(F.col("size") <= LIST_MAX)
         pairs = _short_pairs(short, window)
+        if done:  # pairs that an earlier level has compared
+            pairs = pairs.join(reduce(DataFrame.unionByName, done).distinct(), ["a", "b"], "left_anti")
         if not last:
             hot = lists.filter(F.col("size") > LIST_MAX)
             pivots = hot.groupBy("region", "h").agg(F.max(F.struct("centre", "id"))["id"].alias("p0"), F.min(
@@ -222,6 +226,7 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
         compared = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b", "pivot")
                           .mapInArrow(_compare(percent, counts), _COMPARED))
         links.append(compared.filter("linked").select("a", "b"))
+        done.append(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if last:
             break
         measured = compared.filter("pivot")
@@ -233,10 +238,12 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
         regions = near.select("id", "nearest", F.explode("at").alias("at")).filter(
             (F.col("at.dist") <= F.col("nearest") + 2 * eps + 1e-9) & (F.col("at.p") != F.col("id"))).select(
                 F.col("id").alias("a"), F.col("at.p").alias("b")).distinct()
-        members = measured.join(regions, ["a", "b"]).select(
-            F.col("b").alias("region"), F.col("a").alias("id"), F.col("linked").alias("core"), "dn", "n",
+        known = components(reduce(DataFrame.unionByName, links))
+        members = measured.join(regions, ["a", "b"]).join(known, F.col("a") == F.col("node"), "left").select(
+            F.col("b").alias("region"), F.col("a").alias("id"), F.coalesce("component", "a").alias("c"), "dn", "n",
             (-F.col("dn")).cast("double").alias("centre"), "prefix")
-        open_ = members.filter("not core").select("region").distinct()
+        # A region that is one component by now is done.
+        open_ = members.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("region")
         state = stored(members.join(open_, "region", "left_semi"))
         if state.isEmpty():
             break

@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, limit: str = "8m") -> Iterator[None]:
+def small_batches(spark: SparkSession, limit: str = "2m") -> Iterator[None]:
     """Arrow batches of few bytes while a job starts: rows here carry whole texts and sets."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
