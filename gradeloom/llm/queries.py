@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontam, pii, toxicity, url_filter
+from gradeloom.llm import decontam, pii, secret_scan, toxicity, url_filter
 from gradeloom.llm.chain_dedup import fuzzy_passages
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.jaccard_join import near_groups
@@ -32,6 +32,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.scan_secrets(docs, secret_scan.fit_secrets(docs))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_passages(_table(spark, sf_dir, "documents"))
 
