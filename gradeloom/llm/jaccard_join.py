@@ -24,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm import words as W
@@ -32,7 +32,7 @@ from gradeloom.llm.components import components
 from gradeloom.llm.storage import small_batches, stored
 
 SKETCH, PART = 1 << 22, 1 << 12  # counters, and how many of them travel together
-LIST_MAX = 8
+LIST_MAX = 32  # pairs
 LEVELS = 4
 BROADCAST_IDS = 500_000
 
@@ -125,12 +125,12 @@ def _sets(k: int):
     return run
 
 
-def _compare(percent: int, counts):
+def _compare(percent: int):
     """Rows a, b, grams_a, grams_b, pivot -> a, b, linked, distance, and for a pivot b what its region needs of a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, dist, dn, prefix = [], [], [], []
+            linked, dist, dn, delta_, short, deep = [], [], [], [], [], []
             a_sets, b_sets, pivots = batch["grams_a"], batch["grams_b"], batch["pivot"].to_pylist()
             for i, pivot in enumerate(pivots):
                 x = np.frombuffer(a_sets[i].as_py(), np.uint64)
@@ -141,38 +141,54 @@ def _compare(percent: int, counts):
                 linked.append(core)
                 dist.append(1 - len(both) / union if union else 0.0)
                 if not pivot:
-                    dn.append(0), prefix.append(None)
+                    dn.append(0), delta_.append(None), short.append(0), deep.append(0)
                     continue
-                added, missing = np.setdiff1d(x, p, True), np.setdiff1d(p, x, True)
-                added = added[np.lexsort((added, counts.value[_bucket(added)]))]
-                missing = missing[np.lexsort((missing, counts.value[_bucket(missing)]))]
-                m, c = len(added) + len(missing), (100 - percent) / (100 + percent)
-                if core:  # its partner is outside: |dy| > c (|y| + |p|)
-                    least = (m + c * (len(p) - len(x))) / 2
-                else:  # |dy| >= m - c (|x| + |y|) and |y| <= |x| / t
-                    least = m - c * len(x) * (1 + 100 / percent)
-                take = m - max(1, int(np.ceil(least - 1e-9))) + 1 if m else 0
+                delta = np.setxor1d(x, p, True)
+                m, c = len(delta), (100 - percent) / (100 + percent)
+                # With a partner outside the core, |dy| > c (|y| + |p|): at least half of the difference is shared.
+                half = (m + c * (len(p) - len(x))) / 2
+                # A set outside the core may have a partner in it: |dy| >= m - c (|x| + |y|) and |y| <= |x| / t.
+                least = half if core else min(half, m - c * len(x) * (1 + 100 / percent))
                 dn.append(m)
-                prefix.append(np.concatenate([added, missing])[:take].view(np.int64))
+                delta_.append(delta.view(np.int64))
+                short.append(m - max(1, int(np.ceil(half - 1e-9))) + 1 if m else 0)
+                deep.append(m - max(1, int(np.ceil(least - 1e-9))) + 1 if m else 0)
             yield pa.RecordBatch.from_arrays(
                 [batch["a"], batch["b"], batch["pivot"], pa.array(linked, pa.bool_()), pa.array(dist, pa.float64()),
                  pa.array(dn, pa.int64()), pa.array([len(g.as_py()) // 8 for g in a_sets], pa.int64()),
-                 pa.array(prefix, pa.list_(pa.int64()))], ["a", "b", "pivot", "linked", "dist", "dn", "n", "prefix"])
+                 pa.array(delta_, pa.list_(pa.int64())), pa.array(short, pa.int64()), pa.array(deep, pa.int64())],
+                ["a", "b", "pivot", "linked", "dist", "dn", "n", "delta", "short", "deep"])
     return run
 
 
-_COMPARED = "a long, b long, pivot boolean, linked boolean, dist double, dn long, n long, prefix array<long>"
+_COMPARED = ("a long, b long, pivot boolean, linked boolean, dist double, dn long, n long, delta array<long>, "
+             "short long, deep long")
+
+
+# What an element is to its set: in the short prefix of a core set or of another one, or only in the longer prefix
+# that sets outside the core need to meet core sets.
+CORE, OUTER, DEEP = 0, 1, 2
+
+
+def _postings(state: DataFrame) -> DataFrame:
+    """region, id, c, h, kind: the prefix elements of each difference, the ones rarest in the region first."""
+    elements = state.select("region", "id", "c", "core", "short", "deep", F.explode("delta").alias("h"))
+    rare = elements.groupBy("region", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Elements that no other set has can't meet one, but they fill the prefix.
+    ranked = elements.join(rare, ["region", "h"], "left").withColumn("rank", F.row_number().over(
+        Window.partitionBy("region", "id").orderBy(F.coalesce("n", F.lit(1)), "h")))
+    kind = F.when(F.col("rank") > F.col("short"), DEEP).when(F.col("core"), CORE).otherwise(OUTER)
+    return ranked.filter("rank <= deep and n > 1").select("region", "id", "c", "h", kind.alias("kind"))
 
 
 def _short_pairs(lists: DataFrame, window: float) -> DataFrame:
     """Pairs of each list, without those that are connected already or that the distances to the region's pivot exclude."""
-    members = lists.groupBy("region", "h").agg(F.sort_array(F.collect_set(F.struct("id", "c", "dn", "n"))).alias("l"))
-    first = members.select("l", F.posexplode("l").alias("i", "x"))
-    pairs = first.select("x", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("y"))
-    near = F.abs(F.col("x.dn") - F.col("y.dn")) <= window * (F.col("x.n") + F.col("y.n")) + 1e-9
-    size = F.abs(F.col("x.n") - F.col("y.n")) <= window * (F.col("x.n") + F.col("y.n")) + 1e-9
-    return pairs.filter((F.col("x.c") != F.col("y.c")) & near & size).select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().select("a", "b", F.lit(False).alias("pivot"))
+    members = lists.groupBy("region", "h").agg(F.sort_array(F.collect_set(F.struct("kind", "id", "c", "dn", "n"))).alias("l"))
+    first = members.select("l", F.posexplode("l").alias("i", "x")).filter(F.col("x.kind") < DEEP)
+    pairs = first.select("x", F.explode(F.expr(
+        f"filter(slice(l, i + 2, size(l)), y -> y.c <> x.c and (y.kind < {DEEP} or x.kind = {CORE}) "
+        f"and abs(x.dn - y.dn) <= {window} * (x.n + y.n) + 1e-9 and abs(x.n - y.n) <= {window} * (x.n + y.n) + 1e-9)")).alias("y"))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().withColumn("pivot", F.lit(False))
 
 
 def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -192,14 +208,18 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     own = rows.join(reps.select("key", "rep"), "key").filter("doc_id = rep")
     # c: the component of a set by the links so far. Connected sets need not be compared.
     state = own.select(F.lit(-1).cast("long").alias("region"), F.col("rep").alias("id"), F.col("rep").alias("c"),
-                       F.col("n").alias("dn"), "n", "centre", "prefix")
+                       F.col("n").alias("dn"), "n", "centre", F.col("prefix").alias("delta"), F.lit(False).alias("core"),
+                       F.lit(0).alias("short"), F.lit(0).alias("deep"))
     sets, links, done = None, [], []
     for level in range(LEVELS):
         # Most elements stand in one set only: they go through two narrow shuffles and no further.
-        post = state.select("region", "id", "c", F.explode("prefix").alias("h"))
-        stats = post.groupBy("region", "h").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter(
-            "lo < hi").drop("lo", "hi")
-        lists = stored(post.drop("c").join(stats, ["region", "h"]).join(state.drop("prefix"), ["region", "id"]))
+        post = _postings(state) if level else state.select(
+            "region", "id", "c", F.explode("delta").alias("h"), F.lit(OUTER).alias("kind"))
+        kinds = [F.count_if(F.col("kind") == k) for k in (CORE, OUTER, DEEP)]
+        size = (kinds[0] + kinds[1]) * (kinds[0] + kinds[1] - 1) / 2 + kinds[0] * kinds[2]
+        stats = post.groupBy("region", "h").agg(size.alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter(
+            "lo < hi and size > 0").drop("lo", "hi")
+        lists = stored(post.drop("c").join(stats, ["region", "h"]).join(state.drop("delta", "core", "short", "deep"), ["region", "id"]))
         last = level == LEVELS - 1
         short = lists if last else lists.filter(F.col("size") <= LIST_MAX)
         pairs = _short_pairs(short, window)
@@ -224,7 +244,7 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
             sets = stored(wanted.mapInArrow(_sets(k), "id long, grams binary"))
         side = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))  # noqa: E731, B023
         compared = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b", "pivot")
-                          .mapInArrow(_compare(percent, counts), _COMPARED))
+                          .mapInArrow(_compare(percent), _COMPARED))
         links.append(compared.filter("linked").select("a", "b"))
         done.append(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if last:
@@ -241,7 +261,7 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
         known = components(reduce(DataFrame.unionByName, links))
         members = measured.join(regions, ["a", "b"]).join(known, F.col("a") == F.col("node"), "left").select(
             F.col("b").alias("region"), F.col("a").alias("id"), F.coalesce("component", "a").alias("c"), "dn", "n",
-            (-F.col("dn")).cast("double").alias("centre"), "prefix")
+            (-F.col("dn")).cast("double").alias("centre"), "delta", F.col("linked").alias("core"), "short", "deep")
         # A region that is one component by now is done.
         open_ = members.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("region")
         state = stored(members.join(open_, "region", "left_semi"))
