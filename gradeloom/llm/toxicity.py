@@ -17,15 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import words as W
+from gradeloom.llm.storage import small_batches
 
 BUCKETS = 1 << 17
 DIMS = 8
 NGRAMS = (3, 4, 5)
-SAMPLE = (4500, 1500)  # rows labelled 0 and 1
+SAMPLE = (3000, 1500)  # rows labelled 0 and 1
 EPOCHS, LEAST_STEPS, BATCH, DECAY = 12, 240, 200, 3e-4
 LEAST_ROWS = 5  # buckets of fewer training rows have no weight: they would only tell rows apart
 THRESHOLD = 0.3
@@ -134,20 +136,19 @@ def fit_arrays(label: np.ndarray, cut: np.ndarray, ids: np.ndarray, share: np.nd
     out = rng.uniform(-0.5, 0.5, (DIMS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     used = np.bincount(ids, minlength=BUCKETS) >= LEAST_ROWS
-    share = np.where(used[ids], share, 0).astype(np.float32)
+    share *= used[ids]
     params, moments = [emb, out, bias], [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
     weight = (0.5 / np.maximum(np.bincount(label, minlength=2) / len(label), 1e-9))[label]  # classes count alike
     mixed = rng.permutation(len(label))
-    batches = []
-    for part in np.array_split(mixed, max(1, len(label) // BATCH)):
-        size = cut[part + 1] - cut[part]
-        at = np.repeat(cut[part] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        batches.append((part, np.repeat(np.arange(len(part), dtype=np.int32), size), ids[at], share[at] * np.float32(SCALE)))
+    batches = np.array_split(mixed, max(1, len(label) // BATCH))
     step, weights, biases = 0, [], []
     epochs = max(EPOCHS, -(-LEAST_STEPS // len(batches)))
     for epoch in range(epochs):
-        for part, row, bucket, value in batches:
+        for part in batches:
             step += 1
+            size = cut[part + 1] - cut[part]
+            at = np.repeat(cut[part] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            row, bucket, value = np.repeat(np.arange(len(part), dtype=np.int32), size), ids[at], share[at] * np.float32(SCALE)
             hidden = np.stack([np.bincount(row, value * emb[bucket, k], len(part)) for k in range(DIMS)], 1)
             logits = hidden @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -190,16 +191,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = S
     small = F.broadcast(spark.createDataFrame([(r.doc_id, r.label) for part in chosen for r in part],
                                                "doc_id long, label int"))  # no more rows than the sample
     picked = docs.select("doc_id", "text").join(small, "doc_id").select("label", "text")
-    table = picked.mapInArrow(_bags, "label int, ids array<int>, counts array<float>").toArrow().combine_chunks()
+    with small_batches(spark):
+        table = picked.mapInArrow(_bags, "label int, ids array<int>, counts array<float>").toArrow()
+    # Chunk by chunk, so that the driver holds the sample once.
     label = table["label"].to_numpy()
-    lists = table["ids"].combine_chunks()
-    cut = lists.offsets.to_numpy().astype(np.int64)
-    ids = lists.values.to_numpy()
-    counts_ = table["counts"].combine_chunks().values.to_numpy()
-    row = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(cut))
-    total = (np.bincount(row, counts_, len(label)) + EMPTY).astype(np.float32)
+    cut = np.concatenate([[0], np.cumsum(np.concatenate([[0], pc.list_value_length(table["ids"]).to_numpy()])[1:])]).astype(np.int64)
+    flat = lambda c: np.concatenate([np.zeros(0, c.type.value_type.to_pandas_dtype()), *[x.flatten().to_numpy() for x in c.chunks]])
+    ids, share = flat(table["ids"]), flat(table["counts"])
+    del table
+    size = np.diff(cut)
+    total = np.add.reduceat(np.append(share, np.float32(0)), np.minimum(cut[:-1], len(share))) if len(size) else size
+    share /= np.repeat(np.where(size > 0, total, 0).astype(np.float32) + np.float32(EMPTY), size)
     prior = counts[1] / (counts[0] + counts[1])
-    return fit_arrays(label, cut, ids, (counts_ / total[row]).astype(np.float32), prior)
+    return fit_arrays(label, cut, ids, share, prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
