@@ -47,8 +47,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-def merged(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return cases.merge_cases(ultrasound(spark, sf_dir), operative(spark, sf_dir), **options)
+def merged(spark: SparkSession, sf_dir: str, null_keys: str = "match", **options) -> DataFrame:
+    return cases.merge_cases(ultrasound(spark, sf_dir), operative(spark, sf_dir), null_keys=null_keys, **options)
+
+
+def _grade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of grades over all report pairs, counted without making the pairs."""
+    us = ultrasound(spark, sf_dir).select("case_id", F.col("severity_grade").alias("severity_grade_us"))
+    op = operative(spark, sf_dir).select("case_id", F.col("severity_grade").alias("severity_grade_or"))
+    return cases.pair_counts(us, op, "case_id", "severity_grade_us", "severity_grade_or", null_keys="match")
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +91,7 @@ def merged_cases_drop_null(spark, sf_dir):
 
 
 def grade_pairs(spark, sf_dir):
-    return (merged(spark, sf_dir).groupBy("severity_grade_us", "severity_grade_or")
-            .agg(F.count(F.lit(1)).alias("n")))
+    return _grade_counts(spark, sf_dir)
 
 
 def extraction_counts(spark, sf_dir):
@@ -263,8 +269,9 @@ def gold(spark, sf_dir):
 
 
 def gold_matrix(spark, sf_dir):
-    return metrics.confusion_matrix(gold(spark, sf_dir), "surgeon_adjudicated_grade",
-                                    "manually_extracted_grade", labelled_only=True)
+    return (_grade_counts(spark, sf_dir).select(F.col("severity_grade_or").alias("truth"),
+                                                F.col("severity_grade_us").alias("predicted"), "n")
+            .filter("truth is not null and predicted is not null"))
 
 
 def confusion_matrix(spark, sf_dir):
@@ -311,7 +318,7 @@ RESULT_NUMBERS = ("accuracy", "precision", "recall", "f1_score", "auc", "kappa")
 
 
 def _annotator(spark, sf_dir):
-    return evaluation.evaluate_annotator(gold(spark, sf_dir), labelled_only=True)
+    return evaluation.annotator_result(gold_matrix(spark, sf_dir))
 
 
 def annotator_eval(spark, sf_dir):

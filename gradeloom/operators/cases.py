@@ -6,18 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.operators.reports import tag_family
+from gradeloom.operators.sizes import broadcast_if_small
 
-# A key is hot from this many rows on; the heaviest MAX_HOT_KEYS keys of each side
-# are split, so the table of hot keys has a fixed size bound and can be broadcast.
+# A key is hot from this many rows on, so a table has at most rows / HOT_ROWS of them.
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-MAX_SPLITS = 1_000
 
 
 def _heavy_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
     return (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") >= hot_rows)
-            .orderBy(F.col("n").desc()).limit(MAX_HOT_KEYS))
+            .filter(F.col("n") >= hot_rows))
 
 
 def hot_keys(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -31,7 +28,7 @@ def hot_keys(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_RO
         F.col(key).alias("hot_key"), F.lit(0).cast("long").alias("l_n"), F.col("n").alias("r_n"))
 
     def slices(n: Column) -> Column:
-        return F.greatest(F.lit(1), F.least(F.lit(MAX_SPLITS), F.ceil(n / F.lit(hot_rows)))).cast("int")
+        return F.greatest(F.lit(1), F.ceil(n / F.lit(hot_rows))).cast("int")
 
     return (l_counts.unionByName(r_counts).groupBy("hot_key")
             .agg(F.max("l_n").alias("l_n"), F.max("r_n").alias("r_n"))
@@ -42,7 +39,7 @@ def hot_keys(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_RO
 def _sliced(df: DataFrame, key: str, hot: DataFrame, own: str, other: str,
             own_slice: str, other_slice: str, row_id: str) -> DataFrame:
     """Place each row in one own slice and copy it to every slice of the other side."""
-    marked = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("hot_key")), "left")
+    marked = df.join(hot, F.col(key).eqNullSafe(F.col("hot_key")), "left")
     slice_of_row = F.pmod(F.xxhash64(row_id), F.coalesce(F.col(own), F.lit(1))).cast("int")
     copies = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
     return (marked.withColumn(own_slice, slice_of_row)
@@ -66,7 +63,7 @@ def skew_safe_inner_join(left: DataFrame, right: DataFrame, key: str, *, null_ke
     if hot_rows is None:
         condition_cols = []
     else:
-        hot = hot_keys(left, right, key, hot_rows)
+        hot = broadcast_if_small(hot_keys(left, right, key, hot_rows))
         left = _sliced(left, key, hot, "l_slices", "r_slices", "_i", "_j", row_id)
         right = _sliced(right, key, hot, "r_slices", "l_slices", "_j", "_i", row_id)
         condition_cols = ["_i", "_j"]
@@ -79,9 +76,26 @@ def skew_safe_inner_join(left: DataFrame, right: DataFrame, key: str, *, null_ke
     return left.join(right, match, "inner").drop(*r_names.values(), *condition_cols)
 
 
-def merge_cases(ultrasound: DataFrame, operative: DataFrame, *, null_keys: str = "match",
+def pair_counts(left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str, *,
+                null_keys: str = "drop") -> DataFrame:
+    """(left_value, right_value, n): how many pairs of the join have each pair of values, without making the pairs.
+
+    Each side is counted by key and value first, so a key adds at most one row for each pair of values.
+    """
+    if null_keys not in ("match", "drop"):
+        raise ValueError("null_keys must be 'match' or 'drop'")
+    l = left.groupBy(F.col(key).alias("_l"), left_value).agg(F.count(F.lit(1)).alias("_ln"))
+    r = right.groupBy(F.col(key).alias("_r"), right_value).agg(F.count(F.lit(1)).alias("_rn"))
+    same = F.col("_l").eqNullSafe(F.col("_r")) if null_keys == "match" else F.col("_l") == F.col("_r")
+    return l.join(r, same).groupBy(left_value, right_value).agg(F.sum(F.col("_ln") * F.col("_rn")).alias("n"))
+
+
+def merge_cases(ultrasound: DataFrame, operative: DataFrame, *, null_keys: str = "drop",
                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """One row per (ultrasound, operative) report pair of a case; shared names get a suffix."""
+    """One row per (ultrasound, operative) report pair of a case; shared names get a suffix.
+
+    Reports without a case id are left out; ``null_keys='match'`` joins all of them to each other.
+    """
     us, op = tag_family(ultrasound, "ultrasound"), tag_family(operative, "operative")
     shared = [c for c in us.columns if c in op.columns and c != "case_id"]
     row_id = "_row_id"

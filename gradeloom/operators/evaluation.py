@@ -38,7 +38,11 @@ def evaluate_annotator(df: DataFrame, method: str = "Manual Extraction", *,
     Grades that no gold label ever uses count as errors; ``unseen_rows`` says how
     many rows have one.
     """
-    matrix = metrics.confusion_matrix(df, gold, annotated, labelled_only=labelled_only)
+    return annotator_result(metrics.confusion_matrix(df, gold, annotated, labelled_only=labelled_only), method)
+
+
+def annotator_result(matrix: DataFrame, method: str = "Manual Extraction") -> DataFrame:
+    """The same from counted pairs (truth, predicted, n)."""
     never_gold = F.when(F.col("support") == 0, F.col("n_predicted")).otherwise(F.lit(0))
     unseen = metrics.class_counts(matrix).agg(F.sum(never_gold).alias("n"))
     return _result(metrics.summary(matrix), method).withColumn("unseen_rows", unseen.scalar())

@@ -13,8 +13,8 @@ from gradeloom.operators.ranking import running_total
 
 
 def pair_predictions(truth: DataFrame, predictions: DataFrame, row_id: str) -> DataFrame:
-    """Truth and prediction of each row, paired by key."""
-    return truth.join(predictions, row_id, "inner")
+    """Truth and prediction of each row, paired by key. Without a prediction it is NULL, and counts as an error."""
+    return truth.join(predictions, row_id, "left")
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str, *, labelled_only: bool = False) -> DataFrame:

@@ -85,8 +85,9 @@ def argmax(scores: Column | str) -> Column:
 
 
 def _normalised(scores: Column) -> Column:
+    """Shares of the sum; equal ones where every score has come out as zero."""
     total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(scores, lambda x: x / total)
+    return F.transform(scores, lambda x: F.when(total > 0, x / total).otherwise(F.lit(1.0) / F.size(scores)))
 
 
 def _sigmoid(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import text as X
 from gradeloom.operators.lookup import lookup_join
 from gradeloom.operators.ranking import sorted_index
-from gradeloom.operators.sizes import SMALL_ROWS, broadcast_if_small, small_table
+from gradeloom.operators.sizes import SMALL_ROWS
 
 
 def _items(df: DataFrame, items: Column | str, out: str) -> DataFrame:
@@ -57,10 +57,8 @@ def indicators(df: DataFrame, items: str, vocabulary: DataFrame, row_id: str,
 
 def indicator_vectors(df: DataFrame, items: str, vocabulary: DataFrame, out: str) -> DataFrame:
     """``df`` with a sparse 0/1 vector over the vocabulary; rows are not shuffled."""
-    local = small_table(vocabulary.select("term", "idx"))
-    if local is None:
-        raise ValueError("vocabulary too large for a vector; use indicators()")
-    terms = [r["term"] for r in sorted(local.collect(), key=lambda r: r["idx"])]
+    # The model needs its terms on the driver, as every vector column needs a width.
+    terms = [r["term"] for r in vocabulary.select("term", "idx").orderBy("idx").toLocalIterator()]
     listed = df.withColumn("_items", F.coalesce(_keyword_list(df, items, keep_empty=False),
                                                 F.array().cast("array<string>")))
     if not terms:
@@ -70,12 +68,20 @@ def indicator_vectors(df: DataFrame, items: str, vocabulary: DataFrame, out: str
 
 
 def keyword_matrix(df: DataFrame, keywords: str, vocabulary: DataFrame, row_id: str) -> DataFrame:
-    """(row_id, features): a dense 0/1 array in vocabulary order, for small vocabularies."""
-    local = small_table(vocabulary.select("term", "idx"))
-    if local is None:
-        raise ValueError("vocabulary too large for a dense array; use indicators()")
-    terms = [r["term"] for r in sorted(local.collect(), key=lambda r: r["idx"])]
-    have = F.coalesce(_keyword_list(df, keywords, keep_empty=False), F.array().cast("array<string>"))
-    return (df.select(row_id, have.alias("_have"))
-            .select(row_id, F.array(*[F.array_contains("_have", t).cast("int") for t in terms])
-                    .alias("features")))
+    """(row_id, features): a dense 0/1 array in vocabulary order; rows that repeat ``row_id`` are one.
+
+    The expression doesn't grow with the vocabulary: each row's indexes are looked up, put together again, and
+    tested for every position.
+    """
+    found = (indicators(df, keywords, vocabulary, row_id).groupBy(F.col(row_id).alias("_id"))
+             .agg(F.collect_set("idx").alias("_idx")))
+    width = vocabulary.count()
+    rows = df.select(row_id).distinct().join(found, F.col(row_id).eqNullSafe(F.col("_id")), "left")
+    have = F.coalesce("_idx", F.array().cast("array<bigint>"))
+    if not width:
+        return rows.select(row_id, F.array().cast("array<int>").alias("features"))
+    # A map answers each position at once, however many indexes a row has.
+    flags = F.map_from_arrays(have, F.array_repeat(F.lit(1), F.size(have)))
+    return rows.withColumn("_flags", flags).select(row_id, F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")),
+        lambda i: F.coalesce(F.element_at(F.col("_flags"), i), F.lit(0))).alias("features"))

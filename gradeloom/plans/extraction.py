@@ -10,7 +10,7 @@ from gradeloom.sources.tables import read_table, write_table
 
 
 def run_extraction(spark: SparkSession, ultrasound: DataFrame, operative: DataFrame, folder: str, *,
-                   null_keys: str = "match") -> DataFrame | None:
+                   null_keys: str = "drop") -> DataFrame | None:
     """Parse both corpora, store them, and store and return the merged cases.
 
     ``ultrasound`` and ``operative`` are (report_id, report_text). The join reads the

@@ -117,7 +117,7 @@ def test_comparison_and_best(spark):
 
 
 def test_pairing_by_key(spark):
-    y = spark.createDataFrame([(1, "a"), (2, "b")], "report_id int, y string")
+    y = spark.createDataFrame([(1, "a"), (2, "b"), (4, "b")], "report_id int, y string")
     p = spark.createDataFrame([(2, "b"), (1, "c"), (3, "a")], "report_id int, p string")
     got = Counter((r["y"], r["p"]) for r in metrics.pair_predictions(y, p, "report_id").collect())
-    assert got == {("a", "c"): 1, ("b", "b"): 1}
+    assert got == {("a", "c"): 1, ("b", "b"): 1, ("b", None): 1}

@@ -95,6 +95,13 @@ def test_sample_paths_agree(spark, k):
     assert top == cut and len(top) == min(k, 200)
 
 
+@pytest.mark.parametrize("k", [1, 15, 40, 199])
+def test_sample_of_repeated_keys_is_exact(spark, k):
+    df = spark.range(200).selectExpr("cast(id % 20 as string) as id")
+    for limit in (1000, -1):
+        assert split.random_sample(df, k, ["id"], sort_limit=limit).count() == k
+
+
 def test_label_map_puts_missing_last(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "g string")
     mapping = label_map(df, "g")
