@@ -14,7 +14,7 @@ from gradeloom.functions.patterns import SPACE
 from gradeloom.functions.stopwords import ENGLISH
 from gradeloom.operators.labels import encode_labels
 from gradeloom.operators.lookup import lookup_join
-from gradeloom.operators.sizes import SMALL_ROWS, small_table
+from gradeloom.operators.sizes import SMALL_ROWS, cut_lineage, small_table
 
 MIN_LEMMA = 3
 
@@ -36,18 +36,22 @@ def lemmatize(df: DataFrame, tokens: str, dictionary: DataFrame, out: str,
               row_id: Sequence[str] = (), small_rows: int = SMALL_ROWS) -> DataFrame:
     """Replace each token by its lemma; tokens outside the dictionary stay.
 
-    ``dictionary`` has (form, lemma), one row per form. A small dictionary is looked
-    up within each row, so the texts are not shuffled. A larger one is joined to the
-    exploded tokens, which are put together again by ``row_id`` (a unique key).
+    ``dictionary`` has (form, lemma); of a form's lemmas the first in order counts. A
+    small dictionary is looked up within each row, so the texts are not shuffled. A
+    larger one is joined to the exploded tokens, which are put together again by
+    ``row_id`` (a unique key) or, without one, by a number that each row gets.
     """
-    pairs = dictionary.select("form", "lemma").filter("form is not null and lemma is not null")
+    pairs = (dictionary.select("form", "lemma").filter("form is not null and lemma is not null")
+             .groupBy("form").agg(F.min("lemma").alias("lemma")))
     local = small_table(pairs, small_rows)
     if local is not None:
         table, n_slots = _lemma_lookup(local)
         slot = lambda t: F.get(table, F.pmod(F.crc32(t.cast("binary")), F.lit(n_slots)).cast("int"))
         return df.withColumn(out, F.transform(tokens, lambda t: F.coalesce(F.element_at(slot(t), t), t)))
-    if not row_id:
-        raise ValueError("a dictionary of this size needs row_id, the key of a row")
+    numbered = not row_id
+    if numbered:
+        # Written once, so that both uses below see the same numbers.
+        df, row_id = cut_lineage(df.withColumn("_row_number", F.monotonically_increasing_id())), ["_row_number"]
     ids = list(row_id)
     exploded = (df.select(*ids, F.posexplode_outer(tokens).alias("_pos", "_token"))
                 .filter(F.col("_token").isNotNull()))
@@ -65,7 +69,7 @@ def lemmatize(df: DataFrame, tokens: str, dictionary: DataFrame, out: str,
         condition = condition & c
     return (df.join(again, condition, "left")
             .withColumn(out, F.coalesce("_lemmas", F.array().cast("array<string>")))
-            .drop("_lemmas", *[f"_id_{i}" for i in ids]))
+            .drop("_lemmas", *[f"_id_{i}" for i in ids], *(["_row_number"] if numbered else [])))
 
 
 def normalize_tokens(df: DataFrame, text: str, out: str, *, mode: str = "plain",

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks import queries as Q
-from gradeloom.operators import matrix, onehot, tfidf, vocabulary
+from gradeloom.operators import matrix, onehot, text_prep, tfidf, vocabulary
 from tests.conftest import SF
 
 DOCS = ["red wall red", "red wall thick", "wall blue", "the red", "red blue sky", None]
@@ -125,3 +125,18 @@ def test_stack_stays_sparse(spark, docs):
     df = model.transform(docs, "text").withColumn("n", F.lit(1.0))
     kinds = Counter(type(r["features"]).__name__ for r in matrix.combine_features(df, ["tfidf", "n"]).collect())
     assert "SparseVector" in kinds
+
+
+def test_lemma_paths_agree_on_repeated_forms_without_a_key(spark):
+    df = spark.createDataFrame([(["felines", "x"],), ([],), (["felines", "x"],)], "t array<string>")
+    table = spark.createDataFrame([("felines", "feline"), ("felines", "cat"), (None, "z"), ("x", None)], "form string, lemma string")
+    for limit in (1000, 0):
+        got = [r.o for r in text_prep.lemmatize(df, "t", table, "o", small_rows=limit).collect()]
+        assert sorted(got) == [[], ["cat", "x"], ["cat", "x"]]
+
+
+def test_wide_keyword_vocabulary(spark):
+    rows = spark.range(50).selectExpr("cast(id as string) as id", "array(concat('k', id), concat('k', id + 4000)) as k")
+    vocab = spark.range(5000).selectExpr("concat('k', id) as term", "id as idx")
+    for r in vocabulary.keyword_matrix(rows, "k", vocab, "id").collect():
+        assert [i for i, v in enumerate(r.features) if v] == [int(r.id), int(r.id) + 4000]
