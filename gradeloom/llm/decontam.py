@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.storage import stored
+from gradeloom.llm.storage import scratch, stored
 
 SPAN = 12
 # The positions that count, a mask a row.
@@ -51,41 +51,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     are ids like any other; repeated rows and items are found once; an item that stands in several places
     reports the best, the first of equals. Other columns are ignored.
     """
-    items = stored(benchmark.select("item_id", _words("text").alias("words")).filter(F.size("words") > 0)
-                   .distinct().withColumn("item_key", F.xxhash64("item_id", "words")))
-    # At most SPAN - 1 numbers.
-    lengths = sorted(r[0] for r in items.filter(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
-    spaced, short = _seeds(lengths)
-    own = F.array(*spaced, *[F.when((F.size("words") == n) & (F.col("i") == 0), h) for n, h in short.items()])
-    seeds = stored(_positions(items, "item_key")
-                   .select("item_key", F.size("words").alias("n_item"), F.col("i").alias("j"), F.explode(own).alias("seed"))
-                   .filter("seed is not null"))
-    small = F.broadcast if seeds.count() <= BROADCAST_SEEDS else (lambda df: df)
-
-    body = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), _words("text").alias("words"))
-    at = _positions(body, "doc_id", "doc_hash").select(
-        "doc_id", "doc_hash", "words", "i", F.explode(F.array(*spaced, *short.values())).alias("seed")).filter("seed is not null")
-    shift = F.col("i") - F.col("j")
-    hits = (at.join(small(seeds), "seed")
-            .select("doc_id", "doc_hash", "item_key", shift.alias("shift"),
-                    F.slice("words", F.greatest(shift, F.lit(0)) + 1,
-                            F.col("n_item") + F.least(shift, F.lit(0))).alias("window"))
-            .distinct())
-    laid = hits.join(small(items), "item_key").withColumn("skip", F.greatest(-F.col("shift"), F.lit(0)))
-    equal = F.zip_with("window", F.slice("words", F.col("skip") + 1, F.size("window")), lambda a, b: a == b)
-    best = laid.select("doc_id", "doc_hash", "item_id", "shift", "skip", F.size("words").alias("n_item"),
-                       _best_stretch(equal).alias("best"))
-    needed = F.least(F.lit(min_words), F.col("n_item"))
-    length = F.col("best.till") - F.col("best.since")
-    found = best.select(
-        "doc_id", "doc_hash", "item_id", F.col("best.hits").alias("matched_words"), length.alias("overlap_words"),
-        (F.col("best.hits") / F.greatest(length, F.lit(1))).alias("similarity"),
-        (F.col("skip") + F.col("best.since")).alias("item_word"),
-        (F.col("shift") + F.col("skip") + F.col("best.since")).alias("doc_word"), needed.alias("needed")).filter(
-            (F.col("matched_words") >= F.col("needed")) & (F.col("similarity") >= similarity))
-    order = F.struct("matched_words", "similarity", -F.col("doc_word"), "overlap_words", "item_word", "doc_word")
-    return found.groupBy("doc_id", "doc_hash", "item_id").agg(F.max(order).alias("m")).select(
-        "doc_id", "doc_hash", "item_id", "m.matched_words", "m.overlap_words", "m.similarity", "m.doc_word", "m.item_word")
+    with scratch(docs.sparkSession) as keep:
+        items = stored(benchmark.select("item_id", _words("text").alias("words")).filter(F.size("words") > 0)
+                       .distinct().withColumn("item_key", F.xxhash64("item_id", "words")))
+        # At most SPAN - 1 numbers.
+        lengths = sorted(r[0] for r in items.filter(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
+        spaced, short = _seeds(lengths)
+        own = F.array(*spaced, *[F.when((F.size("words") == n) & (F.col("i") == 0), h) for n, h in short.items()])
+        seeds = stored(_positions(items, "item_key")
+                       .select("item_key", F.size("words").alias("n_item"), F.col("i").alias("j"), F.explode(own).alias("seed"))
+                       .filter("seed is not null"))
+        small = F.broadcast if seeds.count() <= BROADCAST_SEEDS else (lambda df: df)
+
+        body = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), _words("text").alias("words"))
+        at = _positions(body, "doc_id", "doc_hash").select(
+            "doc_id", "doc_hash", "words", "i", F.explode(F.array(*spaced, *short.values())).alias("seed")).filter("seed is not null")
+        shift = F.col("i") - F.col("j")
+        hits = (at.join(small(seeds), "seed")
+                .select("doc_id", "doc_hash", "item_key", shift.alias("shift"),
+                        F.slice("words", F.greatest(shift, F.lit(0)) + 1,
+                                F.col("n_item") + F.least(shift, F.lit(0))).alias("window"))
+                .distinct())
+        laid = hits.join(small(items), "item_key").withColumn("skip", F.greatest(-F.col("shift"), F.lit(0)))
+        equal = F.zip_with("window", F.slice("words", F.col("skip") + 1, F.size("window")), lambda a, b: a == b)
+        best = laid.select("doc_id", "doc_hash", "item_id", "shift", "skip", F.size("words").alias("n_item"),
+                           _best_stretch(equal).alias("best"))
+        needed = F.least(F.lit(min_words), F.col("n_item"))
+        length = F.col("best.till") - F.col("best.since")
+        found = best.select(
+            "doc_id", "doc_hash", "item_id", F.col("best.hits").alias("matched_words"), length.alias("overlap_words"),
+            (F.col("best.hits") / F.greatest(length, F.lit(1))).alias("similarity"),
+            (F.col("skip") + F.col("best.since")).alias("item_word"),
+            (F.col("shift") + F.col("skip") + F.col("best.since")).alias("doc_word"), needed.alias("needed")).filter(
+                (F.col("matched_words") >= F.col("needed")) & (F.col("similarity") >= similarity))
+        order = F.struct("matched_words", "similarity", -F.col("doc_word"), "overlap_words", "item_word", "doc_word")
+        return keep(found.groupBy("doc_id", "doc_hash", "item_id").agg(F.max(order).alias("m")).select(
+            "doc_id", "doc_hash", "item_id", "m.matched_words", "m.overlap_words", "m.similarity", "m.doc_word", "m.item_word"))
 
 
 def _best_stretch(equal: F.Column) -> F.Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gradeloom.llm.storage import stored
+from gradeloom.llm.storage import scratch, stored
 
 PIECE_BYTES = 1 << 16
 PRIME = (1 << 31) - 1
@@ -114,26 +114,27 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     and all empty texts are one group. Of a group the largest doc_id stays (a null id only where all are
     null). Texts of any length are read whole, in pieces. Other columns are ignored; no rows give no rows.
     """
-    prints = stored(fingerprints(docs))
-    clashes = stored(clashing(docs, prints))
-    sizes = (F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    if clashes.isEmpty():
-        groups = prints.groupBy(*KEY).agg(*sizes).filter("group_size > 1")
-        found = prints.join(groups, KEY, "left")
-    else:
-        # A clashing fingerprint is split by SHA-256; for all others the additional key is null.
-        keyed = prints.join(clashes.withColumn("clash", F.lit(True)), KEY, "left").withColumn(
-            "split", F.when(F.col("clash"), F.col("sha")))
-        groups = keyed.groupBy(*KEY, "split").agg(*sizes).withColumnRenamed("split", "split_key")
-        names = [F.col(f"keyed.{c}") == F.col(f"groups.{c}") for c in KEY]
-        found = keyed.alias("keyed").join(groups.alias("groups"), [
-            *names, F.col("split").eqNullSafe(F.col("split_key"))]).select(
-                "doc_id", "sha", "keep_id", "group_size")
-    return found.select(
-        "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("keep_id"), F.col("doc_id")).eqNullSafe(F.col("doc_id")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"))
+    with scratch(docs.sparkSession) as keep:
+        prints = stored(fingerprints(docs))
+        clashes = stored(clashing(docs, prints))
+        sizes = (F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        if clashes.isEmpty():
+            groups = prints.groupBy(*KEY).agg(*sizes).filter("group_size > 1")
+            found = prints.join(groups, KEY, "left")
+        else:
+            # A clashing fingerprint is split by SHA-256; for all others the additional key is null.
+            keyed = prints.join(clashes.withColumn("clash", F.lit(True)), KEY, "left").withColumn(
+                "split", F.when(F.col("clash"), F.col("sha")))
+            groups = keyed.groupBy(*KEY, "split").agg(*sizes).withColumnRenamed("split", "split_key")
+            names = [F.col(f"keyed.{c}") == F.col(f"groups.{c}") for c in KEY]
+            found = keyed.alias("keyed").join(groups.alias("groups"), [
+                *names, F.col("split").eqNullSafe(F.col("split_key"))]).select(
+                    "doc_id", "sha", "keep_id", "group_size")
+        return keep(found.select(
+            "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"),
+            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+            F.coalesce(F.col("keep_id"), F.col("doc_id")).eqNullSafe(F.col("doc_id")).alias("kept"),
+            F.lower(F.hex("sha")).alias("text_sha256")))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

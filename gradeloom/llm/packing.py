@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import words as W
-from gradeloom.llm.storage import stored
+from gradeloom.llm.storage import scratch, stored
 
 WINDOW = 1024
 SHARD_DOCS, SHARD_TOKENS = 512, 1 << 20
@@ -223,20 +223,21 @@ def pack(docs: DataFrame, vocabulary: str) -> DataFrame:
     none) and id 0; each id lies in exactly one piece. Every row is packed, repeated ones and those without
     doc_id, too; other columns are ignored; no rows give no rows. Memory follows a shard and the longest text.
     """
-    table = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        _tokenise(vocabulary), "doc_id long, ids binary, like long, df array<long>"))
-    rows = table.filter("ids is not null").select("doc_id", "ids", "like")
-    frequent = (table.filter("df is not null").select(F.posexplode("df").alias("id", "n")).filter("n > 0")
-                .groupBy("id").agg(F.sum("n").alias("n")).toArrow())  # one row for each id of the vocabulary at most
-    size = Tokens.of(vocabulary).size
-    width = 2 if size <= 65536 else 4
-    total = rows.agg(F.count(F.lit(1)).alias("docs"), (F.sum(F.octet_length("ids")) / width).cast("long").alias("ids")).first()
-    df = np.zeros(size)
-    df[frequent["id"].to_numpy()] = frequent["n"].to_numpy()
-    idf = docs.sparkSession.sparkContext.broadcast(np.log(1 + (total.docs - df + 0.5) / (df + 0.5)))
-    slots = docs.sparkSession.sparkContext.defaultParallelism
-    parts = max(slots, (total.ids or 0) // PARTITION_TOKENS + 1)
-    near = rows.repartitionByRange(parts, "like", "doc_id").sortWithinPartitions("like", "doc_id", F.octet_length("ids"))
-    return near.select("doc_id", "ids").mapInArrow(
-        _pack(idf, (total.ids or 0) / max(total.docs, 1) or 1.0, "<u2" if width == 2 else "<u4"),
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    with scratch(docs.sparkSession) as keep:
+        table = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
+            _tokenise(vocabulary), "doc_id long, ids binary, like long, df array<long>"))
+        rows = table.filter("ids is not null").select("doc_id", "ids", "like")
+        frequent = (table.filter("df is not null").select(F.posexplode("df").alias("id", "n")).filter("n > 0")
+                    .groupBy("id").agg(F.sum("n").alias("n")).toArrow())  # one row for each id of the vocabulary at most
+        size = Tokens.of(vocabulary).size
+        width = 2 if size <= 65536 else 4
+        total = rows.agg(F.count(F.lit(1)).alias("docs"), (F.sum(F.octet_length("ids")) / width).cast("long").alias("ids")).first()
+        df = np.zeros(size)
+        df[frequent["id"].to_numpy()] = frequent["n"].to_numpy()
+        idf = docs.sparkSession.sparkContext.broadcast(np.log(1 + (total.docs - df + 0.5) / (df + 0.5)))
+        slots = docs.sparkSession.sparkContext.defaultParallelism
+        parts = max(slots, (total.ids or 0) // PARTITION_TOKENS + 1)
+        near = rows.repartitionByRange(parts, "like", "doc_id").sortWithinPartitions("like", "doc_id", F.octet_length("ids"))
+        return keep(near.select("doc_id", "ids").mapInArrow(
+            _pack(idf, (total.ids or 0) / max(total.docs, 1) or 1.0, "<u2" if width == 2 else "<u4"),
+            "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))

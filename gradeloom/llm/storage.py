@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +29,39 @@ def small_batches(spark: SparkSession, limit: str = "2m") -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back: lineage ends there, and a lost executor loses nothing.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove the tables that are stored within, when it ends. It gives a function that writes the result, which stays.
 
-    The files stay until the folder is cleaned, since a lazy result may still read them.
+    The files of a result stay until the folder is cleaned (or the scratch around it ends), as a lazy plan reads them.
     """
+    own: list[str] = []
+    _scopes.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        _scopes.remove(own)
+        try:
+            return stored(df)
+        finally:
+            _scopes.append(own)
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back: lineage ends there, and a lost executor loses nothing."""
     path = shared_folder(df.sparkSession)
+    if _scopes:
+        _scopes[-1].append(path)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

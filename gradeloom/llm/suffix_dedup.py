@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import words as W
 from gradeloom.llm.anchors import keyed, merged, minimisers, per_slice, with_texts, word_table
-from gradeloom.llm.storage import stored
+from gradeloom.llm.storage import scratch, stored
 
 MIN_WORDS = 50
 GRAM = 32
@@ -103,16 +103,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     if min_words < GRAM:
         raise ValueError(f"min_words must be at least {GRAM}")
-    own = keyed(docs)
-    rows = own.select("key", "text").mapInArrow(_suffixes(min_words - GRAM + 1), "key long, gram long, pos long, after long, before long")
-    often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    suffixes = stored(rows.join(often, "gram").distinct())
-    pairs = _sorted_pairs(suffixes, "after").unionByName(_sorted_pairs(suffixes, "before"))
-    # One pair of documents and diagonal once, whatever the number of shared suffixes.
-    swap = F.col("a") > F.col("b")
-    pairs = stored(pairs.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(swap, F.col("pos_b") - F.col("pos_a")).otherwise(F.col("pos_a") - F.col("pos_b")).alias("shift"))
-        .filter("a <> b or shift <> 0").distinct())
-    spans = with_texts(pairs, own).mapInArrow(_extend(min_words), "key long, doc_id long, start long, end long, other_id long")
-    return merged(stored(spans))
+    with scratch(docs.sparkSession) as keep:
+        own = keyed(docs)
+        rows = own.select("key", "text").mapInArrow(_suffixes(min_words - GRAM + 1), "key long, gram long, pos long, after long, before long")
+        often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+        suffixes = stored(rows.join(often, "gram").distinct())
+        pairs = _sorted_pairs(suffixes, "after").unionByName(_sorted_pairs(suffixes, "before"))
+        # One pair of documents and diagonal once, whatever the number of shared suffixes.
+        swap = F.col("a") > F.col("b")
+        pairs = stored(pairs.select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+            F.when(swap, F.col("pos_b") - F.col("pos_a")).otherwise(F.col("pos_a") - F.col("pos_b")).alias("shift"))
+            .filter("a <> b or shift <> 0").distinct())
+        spans = with_texts(pairs, own).mapInArrow(_extend(min_words), "key long, doc_id long, start long, end long, other_id long")
+        return keep(merged(stored(spans)))
