@@ -11,7 +11,8 @@ be. A short list is compared pair by pair. A long one is split by pivots taken f
   link needs |x ^ y| <= c (|x| + |y|), so the two differences overlap, and their sizes, which are distances to the pivot,
   differ by no more than that window. Differences are short, so their prefixes are, too.
 - Sets that links connect by then are not compared again: a list or region within one component is done.
-- After ``LEVELS`` levels the lists left are compared pair by pair, so nothing is lost.
+- On the last level the lists left are compared pair by pair, so nothing is lost. There, as in all regions, two sets are compared by
+  their differences to the pivot, which are shorter: |x ^ y| = |dx ^ dy|.
 
 Frequencies for the element order come from one array of counters over all texts, of fixed size; any order gives
 the same links. Elements are 64-bit hashes of the n-grams.
@@ -29,11 +30,10 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import words as W
 from gradeloom.llm.components import components
-from gradeloom.llm.storage import small_batches, stored
+from gradeloom.llm.storage import scratch, small_batches, stored
 
 SKETCH, PART = 1 << 22, 1 << 12  # counters, and how many of them travel together
-LIST_MAX = 32  # pairs
-LEVELS = 4
+LIST_MAX = (32, 1024)  # pairs of a list that are compared one by one; the last level has no such limit
 BROADCAST_IDS = 500_000
 
 
@@ -126,24 +126,25 @@ def _sets(k: int):
 
 
 def _compare(percent: int):
-    """Rows a, b, grams_a, grams_b, pivot -> a, b, linked, distance, and for a pivot b what its region needs of a."""
+    """Rows a, b, pivot, grams_a, n_a, grams_b, n_b -> linked, distance, and for a pivot b what its region needs of a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, dist, dn, delta_, short, deep = [], [], [], [], [], []
+            linked, dist, dn, delta_, bytes_, short, deep = [], [], [], [], [], [], []
+            n_a, n_b = batch["n_a"].to_pylist(), batch["n_b"].to_pylist()
             a_sets, b_sets, pivots = batch["grams_a"], batch["grams_b"], batch["pivot"].to_pylist()
             for i, pivot in enumerate(pivots):
                 x = np.frombuffer(a_sets[i].as_py(), np.uint64)
                 p = np.frombuffer(b_sets[i].as_py(), np.uint64)
-                both = np.intersect1d(x, p, assume_unique=True)
-                union = len(x) + len(p) - len(both)
-                core = union > 0 and 100 * len(both) >= percent * union
+                delta = np.setxor1d(x, p, True)
+                both = (n_a[i] + n_b[i] - len(delta)) // 2
+                union = both + len(delta)
+                core = both > 0 and 100 * both >= percent * union
                 linked.append(core)
-                dist.append(1 - len(both) / union if union else 0.0)
+                dist.append(1 - both / union if union else 0.0)
                 if not pivot:
-                    dn.append(0), delta_.append(None), short.append(0), deep.append(0)
+                    dn.append(0), delta_.append(None), bytes_.append(None), short.append(0), deep.append(0)
                     continue
-                delta = np.setxor1d(x, p, True)
                 m, c = len(delta), (100 - percent) / (100 + percent)
                 # With a partner outside the core, |dy| > c (|y| + |p|): at least half of the difference is shared.
                 half = (m + c * (len(p) - len(x))) / 2
@@ -151,23 +152,25 @@ def _compare(percent: int):
                 least = half if core else min(half, m - c * len(x) * (1 + 100 / percent))
                 dn.append(m)
                 delta_.append(delta.view(np.int64))
+                bytes_.append(delta.tobytes())
                 short.append(m - max(1, int(np.ceil(half - 1e-9))) + 1 if m else 0)
                 deep.append(m - max(1, int(np.ceil(least - 1e-9))) + 1 if m else 0)
             yield pa.RecordBatch.from_arrays(
                 [batch["a"], batch["b"], batch["pivot"], pa.array(linked, pa.bool_()), pa.array(dist, pa.float64()),
-                 pa.array(dn, pa.int64()), pa.array([len(g.as_py()) // 8 for g in a_sets], pa.int64()),
-                 pa.array(delta_, pa.list_(pa.int64())), pa.array(short, pa.int64()), pa.array(deep, pa.int64())],
-                ["a", "b", "pivot", "linked", "dist", "dn", "n", "delta", "short", "deep"])
+                 pa.array(dn, pa.int64()), batch["n_a"],
+                 pa.array(delta_, pa.list_(pa.int64())), pa.array(bytes_, pa.binary()), pa.array(short, pa.int64()), pa.array(deep, pa.int64())],
+                ["a", "b", "pivot", "linked", "dist", "dn", "n", "delta", "bytes", "short", "deep"])
     return run
 
 
-_COMPARED = ("a long, b long, pivot boolean, linked boolean, dist double, dn long, n long, delta array<long>, "
+_COMPARED = ("a long, b long, pivot boolean, linked boolean, dist double, dn long, n long, delta array<long>, bytes binary, "
              "short long, deep long")
 
 
 # What an element is to its set: in the short prefix of a core set or of another one, or only in the longer prefix
 # that sets outside the core need to meet core sets.
 CORE, OUTER, DEEP = 0, 1, 2
+WHOLE = -(1 << 63)  # the region of the first level, which is all sets and has the empty set as its pivot
 
 
 def _postings(state: DataFrame) -> DataFrame:
@@ -184,11 +187,26 @@ def _postings(state: DataFrame) -> DataFrame:
 def _short_pairs(lists: DataFrame, window: float) -> DataFrame:
     """Pairs of each list, without those that are connected already or that the distances to the region's pivot exclude."""
     members = lists.groupBy("region", "h").agg(F.sort_array(F.collect_set(F.struct("kind", "id", "c", "dn", "n"))).alias("l"))
-    first = members.select("l", F.posexplode("l").alias("i", "x")).filter(F.col("x.kind") < DEEP)
-    pairs = first.select("x", F.explode(F.expr(
+    first = members.select("region", "l", F.posexplode("l").alias("i", "x")).filter(F.col("x.kind") < DEEP)
+    pairs = first.select("region", "x", F.explode(F.expr(
         f"filter(slice(l, i + 2, size(l)), y -> y.c <> x.c and (y.kind < {DEEP} or x.kind = {CORE}) "
         f"and abs(x.dn - y.dn) <= {window} * (x.n + y.n) + 1e-9 and abs(x.n - y.n) <= {window} * (x.n + y.n) + 1e-9)")).alias("y"))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().withColumn("pivot", F.lit(False))
+    return pairs.select("region", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).groupBy("a", "b").agg(
+        F.min("region").alias("region")).withColumn("pivot", F.lit(False))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Pairs with what is to be compared: whole sets, or within a region (the pairs without a pivot) the differences."""
+    def joined(rows, side, keys):
+        for c in "ab":
+            rows = rows.join(side(c), [*keys, c])
+        return rows.select("a", "b", "pivot", *[f"{x}_{c}" for c in "ab" for x in ("grams", "n")])
+
+    whole = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"), (F.octet_length("grams") / 8).cast("long").alias(f"n_{c}"))
+    if state is None:
+        return joined(pairs, whole, [])
+    part = lambda c: state.select("region", F.col("id").alias(c), F.col("bytes").alias(f"grams_{c}"), F.col("n").alias(f"n_{c}"))
+    return joined(pairs.filter("pivot"), whole, []).unionByName(joined(pairs.filter("not pivot"), part, ["region"]))
 
 
 def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -207,11 +225,11 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     eps = 1 - percent / 100
     own = rows.join(reps.select("key", "rep"), "key").filter("doc_id = rep")
     # c: the component of a set by the links so far. Connected sets need not be compared.
-    state = own.select(F.lit(-1).cast("long").alias("region"), F.col("rep").alias("id"), F.col("rep").alias("c"),
+    state = own.select(F.lit(WHOLE).alias("region"), F.col("rep").alias("id"), F.col("rep").alias("c"),
                        F.col("n").alias("dn"), "n", "centre", F.col("prefix").alias("delta"), F.lit(False).alias("core"),
-                       F.lit(0).alias("short"), F.lit(0).alias("deep"))
+                       F.lit(0).alias("short"), F.lit(0).alias("deep"), F.lit(None).cast("binary").alias("bytes"))
     sets, links, done = None, [], []
-    for level in range(LEVELS):
+    for level in range(len(LIST_MAX) + 1):
         # Most elements stand in one set only: they go through two narrow shuffles and no further.
         post = _postings(state) if level else state.select(
             "region", "id", "c", F.explode("delta").alias("h"), F.lit(OUTER).alias("kind"))
@@ -219,20 +237,20 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
         size = (kinds[0] + kinds[1]) * (kinds[0] + kinds[1] - 1) / 2 + kinds[0] * kinds[2]
         stats = post.groupBy("region", "h").agg(size.alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter(
             "lo < hi and size > 0").drop("lo", "hi")
-        lists = stored(post.drop("c").join(stats, ["region", "h"]).join(state.drop("delta", "core", "short", "deep"), ["region", "id"]))
-        last = level == LEVELS - 1
-        short = lists if last else lists.filter(F.col("size") <= LIST_MAX)
+        lists = stored(post.drop("c").join(stats, ["region", "h"]).join(state.drop("delta", "bytes", "core", "short", "deep"), ["region", "id"]))
+        last = level == len(LIST_MAX)
+        short = lists if last else lists.filter(F.col("size") <= LIST_MAX[level])
         pairs = _short_pairs(short, window)
         if done:  # pairs that an earlier level has compared
             pairs = pairs.join(reduce(DataFrame.unionByName, done).distinct(), ["a", "b"], "left_anti")
         if not last:
-            hot = lists.filter(F.col("size") > LIST_MAX)
+            hot = lists.filter(F.col("size") > LIST_MAX[level])
             pivots = hot.groupBy("region", "h").agg(F.max(F.struct("centre", "id"))["id"].alias("p0"), F.min(
                 F.struct(F.xxhash64("id", F.lit(level)), "id"))["id"].alias("p1"))
             long = hot.join(pivots, ["region", "h"]).select(
                 "region", "h", "id", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p"))
             far = long.filter("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
-            pairs = pairs.unionByName(far.select("a", "b", F.lit(True).alias("pivot")))
+            pairs = pairs.unionByName(far.select("a", "b", F.lit(WHOLE).alias("region"), F.lit(True).alias("pivot")))
         pairs = stored(pairs)
         if pairs.isEmpty():
             break
@@ -242,9 +260,7 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
             ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
             wanted = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
             sets = stored(wanted.mapInArrow(_sets(k), "id long, grams binary"))
-        side = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))  # noqa: E731, B023
-        compared = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b", "pivot")
-                          .mapInArrow(_compare(percent), _COMPARED))
+        compared = stored(_with_sets(pairs, sets, state if level else None).mapInArrow(_compare(percent), _COMPARED))
         links.append(compared.filter("linked").select("a", "b"))
         done.append(compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if last:
@@ -261,7 +277,7 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
         known = components(reduce(DataFrame.unionByName, links))
         members = measured.join(regions, ["a", "b"]).join(known, F.col("a") == F.col("node"), "left").select(
             F.col("b").alias("region"), F.col("a").alias("id"), F.coalesce("component", "a").alias("c"), "dn", "n",
-            (-F.col("dn")).cast("double").alias("centre"), "delta", F.col("linked").alias("core"), "short", "deep")
+            (-F.col("dn")).cast("double").alias("centre"), "delta", "bytes", F.col("linked").alias("core"), "short", "deep")
         # A region that is one component by now is done.
         open_ = members.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("region")
         state = stored(members.join(open_, "region", "left_semi"))
@@ -281,12 +297,13 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     doc_id have component_id null and take no part. Rows that share a doc_id are one document with several
     sets. Texts are read whole; other columns are ignored; no rows give no rows.
     """
-    rows, links = set_links(docs, k, percent)
-    # Rows that share a doc_id but not a set are linked by the id itself.
-    own = rows.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(own))
-    return rows.join(found, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    with scratch(docs.sparkSession) as keep:
+        rows, links = set_links(docs, k, percent)
+        # Rows that share a doc_id but not a set are linked by the id itself.
+        own = rows.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        found = components(links.unionByName(own))
+        return keep(rows.join(found, F.col("doc_id") == F.col("node"), "left").select(
+            "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
 def near_dedup(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:

@@ -66,7 +66,7 @@ def test_edge_cases(spark):
 
 
 def test_pairs_of_long_lists_are_not_lost(spark, monkeypatch):
-    monkeypatch.setattr(m, "LIST_MAX", 2)
+    monkeypatch.setattr(m, "LIST_MAX", (2, 2, 2))
     check(spark, [(i, t, 0, "k") for i, t in enumerate(family(5, 80, 40, 7) + family(6, 40, 40, 5))])
 
 
