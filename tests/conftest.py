@@ -10,15 +10,13 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("gradeloom-tests")
                .config("spark.sql.shuffle.partitions", "4")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
-               # The tables here are tiny: compiling each plan would take most of the time.
-               .config("spark.sql.codegen.wholeStage", "false")
-               .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
                .config("spark.driver.memory", "8g")
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
