@@ -170,6 +170,17 @@ def soft_vote(df: DataFrame, names: Sequence[str], out: str = "ensemble") -> Dat
             .withColumn(f"{out}_prediction", argmax(f"{out}_probability")))
 
 
+@dataclass
+class SoftVote:
+    """The vote of fitted models, used like one of them."""
+
+    members: dict[str, FittedModel]
+    name: str = "ensemble"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return soft_vote(score_all(self.members, df), list(self.members), self.name)
+
+
 def validation_scores(df: DataFrame, names: Sequence[str], truth: str = "label") -> DataFrame:
     """(method, accuracy, fit_order): accuracies of all scored models in one pass."""
     wide = df.agg(*[F.avg((F.col(truth) == F.col(f"{n}_prediction")).cast("double")).alias(n) for n in names])

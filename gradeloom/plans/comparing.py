@@ -12,17 +12,18 @@ from gradeloom.sources import artefacts, tables
 
 
 def run_comparison(spark: SparkSession, folder: str, *, gold: DataFrame | None = None,
-                   responses: DataFrame | None = None, model: str = "random_forest",
+                   responses: DataFrame | None = None, model: str | None = None,
                    responder: str = "Responder", settings: Settings = Settings()) -> DataFrame:
     """Evaluate the methods that have data, store rows and comparison, return the comparison.
 
-    Test features are built again from the stored texts and the fitted terms.
+    Without ``model`` the stored best one is used. Test features are built again from the stored texts and the fitted terms.
     ``gold`` has surgeon_adjudicated_grade and manually_extracted_grade; ``responses``
     has (report_id, response) with the ultrasound report id.
     """
     test = tables.read_split(spark, folder, "test")
     terms = artefacts.load_tfidf(spark, f"{folder}/tfidf")
     keywords = spark.read.parquet(f"{folder}/keyword_vocab")
+    model = model or artefacts.best_model(spark, f"{folder}/models")
     fitted = artefacts.load_model(spark, f"{folder}/models/{model}")
     scored = fitted.transform(featurize(test, terms, keywords, settings))
     results = [evaluation.evaluate_predictions(

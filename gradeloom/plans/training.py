@@ -9,20 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.operators import evaluation, labels, matrix, models, split, text_prep, tfidf, vocabulary
+from gradeloom.operators import evaluation, labels, matrix, metrics, models, split, text_prep, tfidf, vocabulary
 from gradeloom.plans.settings import Settings
 from gradeloom.sources import artefacts, tables
 
 
-def prepare(spark: SparkSession, merged: DataFrame, folder: str, settings: Settings = Settings()) -> DataFrame:
+def prepare(spark: SparkSession, merged: DataFrame, folder: str, settings: Settings = Settings(),
+            dictionary: DataFrame | None = None) -> DataFrame:
     """Prepared rows with their split, and the label map, stored and read back.
 
+    ``dictionary`` (form, lemma) gives the lemmas of the token mode ``content``.
+
     The texts are cleaned once: the split's passes over hashes read the stored table.
     """
     mapping = labels.label_map(merged, settings.label)
     rows = text_prep.prepare_dataset(merged, settings.text, settings.label, mapping,
                                      mode=settings.token_mode, stop_words=settings.stop_words,
-                                     row_id=settings.row_key)
+                                     row_id=settings.row_key, dictionary=dictionary)
     rows.write.mode("overwrite").parquet(f"{folder}/unsplit")
     placed = split.stratified_split(spark.read.parquet(f"{folder}/unsplit"), "label_encoded",
                                     settings.row_key, test_size=settings.test_size,
@@ -73,28 +76,33 @@ def train_models(spark: SparkSession, features: DataFrame, folder: str,
     scores = models.validation_scores(voted, [*fitted, "ensemble"])
     scores.write.mode("overwrite").parquet(f"{folder}/validation_scores")
     best = models.select_best(spark.read.parquet(f"{folder}/validation_scores"))
-    for name, model in fitted.items():
-        artefacts.save_model(spark, model, f"{folder}/models/{name}")
+    artefacts.save_models(spark, fitted, best, f"{folder}/models")
     return fitted, best
 
 
-def evaluate_best(features: DataFrame, fitted: dict[str, models.FittedModel], best: str) -> DataFrame:
-    """Result row of the best model on the test rows."""
-    test = features.filter(F.col("split") == "test")
-    if best == "ensemble":
-        scored = models.soft_vote(models.score_all(fitted, test), list(fitted))
-    else:
-        scored = fitted[best].transform(test)
-    return evaluation.evaluate_predictions(scored, "label", f"{best}_prediction", "Best Model",
-                                           probability=f"{best}_probability")
+def evaluate_best(features: DataFrame, fitted: dict[str, models.FittedModel], best: str, folder: str) -> DataFrame:
+    """Result row of the best model on the test rows. Its predictions and class report are stored beside it.
+
+    The rows are scored once: all numbers come from the stored predictions.
+    """
+    spark = features.sparkSession
+    chosen = models.SoftVote(fitted) if best == "ensemble" else fitted[best]
+    scored = chosen.transform(features.filter(F.col("split") == "test"))
+    (scored.select(*[c for c in features.columns if c != "features"], F.col(f"{best}_prediction").alias("prediction"),
+                   F.col(f"{best}_probability").alias("probability"))
+     .write.mode("overwrite").parquet(f"{folder}/predictions"))
+    stored = spark.read.parquet(f"{folder}/predictions")
+    matrix = metrics.confusion_matrix(stored, "label", "prediction")
+    metrics.class_report(matrix).write.mode("overwrite").parquet(f"{folder}/class_report")
+    return evaluation.evaluate_predictions(stored, "label", "prediction", "Best Model", probability="probability")
 
 
 def run_full(spark: SparkSession, merged: DataFrame, folder: str,
-             settings: Settings = Settings()) -> DataFrame:
+             settings: Settings = Settings(), dictionary: DataFrame | None = None) -> DataFrame:
     """All stages over the merged cases; returns the result row of the best model."""
-    rows = prepare(spark, merged, folder, settings)
+    rows = prepare(spark, merged, folder, settings, dictionary)
     features = build_features(spark, rows, folder, settings)
     fitted, best = train_models(spark, features, folder, settings)
-    result = evaluate_best(features, fitted, best)
+    result = evaluate_best(features, fitted, best, f"{folder}/final")
     tables.write_evaluation(result, evaluation.comparison_table([result]), f"{folder}/final")
     return spark.read.json(f"{folder}/final/results")

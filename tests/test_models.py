@@ -96,3 +96,8 @@ def test_tuning(rows):
     assert setting["maxDepth"] == 3 and score > 0.9
     best, setting, score = models.tune(every["logistic_regression"], {"maxIter": [5]}, rows, ["id"], folds=2)
     assert isinstance(best, OneVsRestModel) and setting == {"maxIter": 5} and score > 0.9
+
+
+def test_far_out_margins_give_equal_shares(spark):
+    row = spark.range(1).select(models._normalised(F.array(*[models._sigmoid(F.lit(float(m))) for m in (-800, -900, -1000)])).alias("p")).first()
+    assert row.p == pytest.approx([1 / 3] * 3)
