@@ -78,9 +78,24 @@ from documents
 """
 
 
+OP7_SQL = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+  else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as sh from w)),
+n as (select doc_id, count(*) as n from s group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+reach as (select doc_id as id, doc_id as c from documents union select l.b, r.c from reach r join links l on l.a = r.id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, r.c as component_id
+from documents d left join n using (doc_id) join (select id, min(c) as c from reach group by 1) r on r.id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op7_jaccard_join": OP7_SQL, "op8_exact_dedup": OP8_SQL}
