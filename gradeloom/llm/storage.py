@@ -42,7 +42,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     _scopes.append(own)
 
     def keep(df: DataFrame) -> DataFrame:
-        _scopes.remove(own)
+        _scopes.pop()  # scopes are nested, so the last one is this one
         try:
             return stored(df)
         finally:
@@ -51,7 +51,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _scopes.remove(own)
+        _scopes.pop()
         for path in own:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
