@@ -141,7 +141,7 @@ def fit_arrays(label: np.ndarray, cut: np.ndarray, ids: np.ndarray, share: np.nd
     weight = (0.5 / np.maximum(np.bincount(label, minlength=2) / len(label), 1e-9))[label]  # classes count alike
     mixed = rng.permutation(len(label))
     batches = np.array_split(mixed, max(1, len(label) // BATCH))
-    step, weights, biases = 0, [], []
+    step, kept, weight_sum, bias_sum = 0, 0, np.zeros(BUCKETS), 0.0
     epochs = max(EPOCHS, -(-LEAST_STEPS // len(batches)))
     for epoch in range(epochs):
         for part in batches:
@@ -162,10 +162,11 @@ def fit_arrays(label: np.ndarray, cut: np.ndarray, ids: np.ndarray, share: np.nd
                 v += 0.01 * (g * g - v)
                 q -= (0.02 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
         if epoch >= epochs // 2:  # the mean of the later epochs is steadier than the last one
-            weights.append(emb.astype(float) @ (out[:, 1] - out[:, 0]))
-            biases.append(float(bias[1] - bias[0]))
+            kept += 1
+            weight_sum += emb @ (out[:, 1] - out[:, 0])
+            bias_sum += float(bias[1] - bias[0])
     odds = np.log(prior / (1 - prior))
-    return ToxicityModel(np.mean(weights, 0) * used, float(np.mean(biases) + odds))
+    return ToxicityModel(weight_sum / kept * used, float(bias_sum / kept + odds))
 
 
 def learnable() -> F.Column:
