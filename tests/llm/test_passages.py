@@ -92,6 +92,32 @@ def test_chains_against_brute_force():
     assert diagonal[0] == [0, 1, 2, 3]
 
 
+def test_chain_scores_against_all_predecessors():
+    rng = random.Random(12)
+    k, reach = chain_dedup.K, chain_dedup.MAX_GAP + chain_dedup.K
+    for _ in range(200):
+        pts = sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(40)})
+        best = []
+        for i, (x, y) in enumerate(pts):
+            best.append(max([k, *[best[j] + min(k, x - a, y - b) - chain_dedup.GAP * (x - a + y - b)
+                                  for j, (a, b) in enumerate(pts[:i]) if 0 < x - a <= reach and 0 < y - b <= reach]]))
+        first = [pts[i] for i in chain_dedup.chains(*map(list, zip(*pts)))[0]]
+        got = k + sum(min(k, x - a, y - b) - chain_dedup.GAP * (x - a + y - b) for (a, b), (x, y) in zip(first, first[1:]))
+        assert abs(got - max(best)) < 1e-9
+
+
+def test_two_passages_of_one_pair(spark):
+    rng = random.Random(13)
+    one, two = words(rng, 60, 10**6), words(rng, 200, 10**6)
+    texts = [words(rng, 20, 10**6) + one + words(rng, n, 10**6) + two + words(rng, 20, 10**6) for n in (100, 130)]
+    copy = words(rng, 300, 10**6)
+    longer = copy[:120] + words(rng, 70, 10**6) + copy[120:]
+    rows = [(i, " ".join(w), "", 0) for i, w in enumerate([*texts, copy, longer])]
+    out = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, DOCS)).collect()
+    covered = lambda spans: {(i, m.start()) for i, a, b in spans for m in re.finditer(r"\S+", rows[i][1]) if a <= m.start() < b}
+    assert covered((r.doc_id, r.start, r.end) for r in out) == covered(spans_by_words(rows, 50))
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(50):
