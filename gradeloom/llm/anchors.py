@@ -29,12 +29,12 @@ def word_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return W.run_hashes(cp, starts, ends), doc, starts - at[doc], ends - at[doc], np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def minimisers(hashes: np.ndarray, doc: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that are the least of some window of ``w`` word k-grams of one text (the first of equals), and
-    all k-gram hashes. Two texts that share w + k - 1 words in a row share such a position there."""
+def least_grams(hashes: np.ndarray, doc: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of each window of ``w`` word k-grams of one text, position of its least gram (the first of equals; these
+    never fall), and all k-gram hashes."""
     n = len(hashes) - k + 1
     if n < w:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(n)
     grams = W.run_hashes(hashes, at, at + k)
     windows = n - w + 1
@@ -42,7 +42,15 @@ def minimisers(hashes: np.ndarray, doc: np.ndarray, k: int, w: int) -> tuple[np.
     for j in range(1, w):
         less = grams[j:j + windows] < best
         best[less], where[less] = grams[j:j + windows][less], at[j:j + windows][less]
-    return np.unique(where[doc[:windows] == doc[w + k - 2:]]), grams
+    whole = np.flatnonzero(doc[:windows] == doc[w + k - 2:])
+    return whole, where[whole], grams
+
+
+def minimisers(hashes: np.ndarray, doc: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that are the least of some window of ``w`` word k-grams of one text (the first of equals), and
+    all k-gram hashes. Two texts that share w + k - 1 words in a row share such a position there."""
+    _, where, grams = least_grams(hashes, doc, k, w)
+    return np.unique(where), grams
 
 
 def per_slice(make: Callable[[list[str]], Iterator[tuple]], names: list[str], types: list[pa.DataType]):

@@ -80,6 +80,17 @@ def test_one_passage_in_many_documents(spark):
         assert sorted(r.doc_id for r in got) == list(range(300))
 
 
+def test_passages_around_a_common_part(spark):
+    rng = random.Random(21)
+    common = words(rng, 40, 10**6)
+    rows = [(i, " ".join(words(rng, 30, 10**6) + common + words(rng, 30, 10**6)), "", 0) for i in range(400)]
+    for i in range(20):
+        passage = words(rng, 5, 10**6) + common + words(rng, 5, 10**6)
+        rows += [(1000 + 2 * i + j, " ".join(words(rng, 30, 10**6) + passage + words(rng, 30, 10**6)), "", 0) for j in (0, 1)]
+    out = suffix_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r.doc_id, r.start, r.end) for r in out} == spans_by_words(rows, 50)
+
+
 def test_chains_against_brute_force():
     rng = random.Random(2)
     k = chain_dedup.K
