@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontam, pii, secret_scan, toxicity, url_filter
+from gradeloom.llm import decontam, pii, secret_scan, sharding, toxicity, url_filter
 from gradeloom.llm.chain_dedup import fuzzy_passages
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.jaccard_join import near_groups
@@ -69,6 +69,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
        count(*) over (partition by coalesce(text, '')) as group_size,
