@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import conv_repair, decontam, pii, secret_scan, sharding, toxicity, url_filter
+from gradeloom.llm import conv_repair, decontam, pii, prefix_trie, secret_scan, sharding, toxicity, url_filter
 from gradeloom.llm.chain_dedup import fuzzy_passages
 from gradeloom.llm.exact_dedup import exact_groups
 from gradeloom.llm.jaccard_join import near_groups
@@ -69,6 +69,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_conv_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_repair.repair(_table(spark, sf_dir, "conversations"))
 
