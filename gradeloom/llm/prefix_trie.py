@@ -14,7 +14,8 @@ probability about nodes^2 / 2^65). The trie is built in Spark:
    head becomes a trie head, whose counts come from one aggregation, and each suffix moves under the child head of
    its next turn id, one turn shorter. Rounds repeat until no container is over the bound; each round's state is
    written to the shared folder.
-3. Each remaining container is one group of a grouped Pandas job: its suffixes are sorted and swept once, a stack
+3. Each remaining container is swept in one task (partitions sorted by head, many containers a Pandas call): its
+   suffixes are sorted and swept once, a stack
    holding the open path; the sweep gives every node below and at the container's head its members, least member,
    children and subtree sums.
 4. Subtree sums of trie heads add the sums of their containers and trie heads below, found through the list of
@@ -36,6 +37,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -138,6 +140,24 @@ def _sweep(rows: pd.DataFrame) -> pd.DataFrame:
     }).astype({"parent_conv_id": "Int64"})
 
 
+def _sweep_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_sweep`` of every container of a partition sorted by head; a container cut by a batch end waits for the rest."""
+    pending = None
+    for batch in batches:
+        if pending is not None:
+            batch = pd.concat([pending, batch], ignore_index=True)
+        heads = batch["head"].to_numpy()
+        if not len(heads):
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(heads[1:] != heads[:-1]) + 1])
+        done = [_sweep(batch.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+        pending = batch.iloc[starts[-1]:].reset_index(drop=True)
+        if done:
+            yield pd.concat(done, ignore_index=True)
+    if pending is not None and len(pending):
+        yield _sweep(pending)
+
+
 def _ends_digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """SHA-256 of ascending conv_ids per node key, over rows sorted by (key, conv_id): one key at a time in memory."""
     key, digest, out = None, None, {"key": [], "ends_sha256": []}
@@ -190,7 +210,8 @@ def prefix_trie(conversations: DataFrame, container_turns: int = CONTAINER_TURNS
                 F.slice("suf", 2, F.size("suf") - 1).alias("suf"), F.slice("sw", 2, F.size("sw") - 1).alias("sw"),
                 "mult", "min_conv")
             state = stored(state.join(over, "head", "left_anti").unionByName(moved))
-        nodes = stored(state.groupBy("head").applyInPandas(_sweep, NODES))
+        # containers stay whole in one task (each is bounded); many are swept in one call
+        nodes = stored(state.repartition("head").sortWithinPartitions("head").mapInPandas(_sweep_sorted, NODES))
         tops = nodes.where(F.col("path").isNotNull())
         found = nodes.drop("path")
         if heads:
