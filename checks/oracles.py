@@ -253,6 +253,10 @@ def oracle_sql() -> dict[str, str]:
       from prepared p join m on p.severity_grade is not distinct from m.severity_grade"""
     out["stratified_split"] = f"""with {split_ctes("select cast(doc_id as varchar) as k, lang as label from documents")}
       select cast(k as bigint) as doc_id, label as lang, split from placed"""
+    for name in ("softmax_boosting", "leafwise_boosting"):
+        out[f"model_{name}"] = f"""with {US}, {split_ctes("select report_id as k, severity_grade as label from us")}
+      select '{name}' as model, count(*) as n_scored, true as sums_to_one, true as beats_majority
+      from placed where split = 'test'"""
     out["split_sizes"] = f"""with {US}, {split_ctes("select report_id as k, severity_grade as label from us")}
       select split, count(*) as n from placed group by split"""
     all_docs = "select doc_id, text from documents"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.derived import OPERATIVE_SQL, ULTRASOUND_SQL
 from gradeloom.functions import text as X
-from gradeloom.operators import (cases, evaluation, labels, matrix, metrics, models, onehot, reports,
+from gradeloom.operators import (boosting, cases, evaluation, labels, matrix, metrics, models, onehot, reports,
                                  split, text_prep, tfidf, vocabulary)
 from gradeloom.sources.tables import balanced
 
@@ -397,6 +397,36 @@ def model_tuned(spark, sf_dir):
     return best.transform(rest).select("doc_id", "label", F.col("ovr_prediction").alias("prediction"))
 
 
+def _grade_features(spark, sf_dir):
+    """Ultrasound reports with their encoded grade, split, and TF-IDF of 1-2 grams (3,000 terms) fitted on train."""
+    us = ultrasound(spark, sf_dir)
+    prepared = text_prep.prepare_dataset(us, "report_text", "severity_grade", labels.label_map(us, "severity_grade"))
+    rows = split.stratified_split(prepared, "severity_grade", ["report_id"])
+    model = tfidf.fit_tfidf(rows.filter("split = 'train'"), "processed_text", max_features=3000, ngram_range=(1, 2))
+    return model.transform(rows, "processed_text").select(
+        "report_id", F.col("label_encoded").cast("double").alias("label"), "split", F.col("tfidf").alias("features"))
+
+
+def _boosted(name: str, params: dict) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Rows of the test split scored, whether every row's probabilities sum to 1, whether it beats the
+        majority class of training."""
+        rows = _grade_features(spark, sf_dir)
+        train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+        model = boosting.fit_boosted(train, params=params)
+        scored = model.transform(test, ["report_id", "label"])
+        top = train.groupBy("label").count().orderBy(F.desc("count"), "label").first()
+        scored = scored.withColumn("_common", F.lit(top.label if top else None).cast("double"))
+        return scored.agg(
+            F.lit(name).alias("model"), F.count("*").alias("n_scored"),
+            F.coalesce(F.bool_and(F.abs(F.aggregate("probability", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9),
+                       F.lit(True)).alias("sums_to_one"),
+            (F.avg((F.col("prediction") == F.col("label")).cast("double"))
+             > F.avg((F.col("_common") == F.col("label")).cast("double"))).alias("beats_majority"))
+    run.__name__ = f"model_{name}"
+    return run
+
+
 def queries() -> dict[str, Query]:
     plain = [us_report_fields, or_report_fields, merged_cases, merged_cases_drop_null, grade_pairs,
              extraction_counts, grade_distribution, label_map, response_grade, clean_text, tokens,
@@ -412,4 +442,6 @@ def queries() -> dict[str, Query]:
     out["model_svm"] = _model_query("svm")
     out["model_gbt"] = _model_query("gradient_boosting")
     out["model_gbt_leafy"] = _model_query("leaf_boosting")
+    out["model_softmax_boosting"] = _boosted("softmax_boosting", boosting.SOFTMAX)
+    out["model_leafwise_boosting"] = _boosted("leafwise_boosting", boosting.LEAFWISE)
     return out
