@@ -3,7 +3,8 @@
 ``damage`` changes rows by ``crc32('conv_id:turn') % 20`` (a null conv_id, turn, role or text is one space there):
 0 drops the row, 1 empties its text, 2 removes its ``.``, ``!`` and ``?``, 3 repeats it next to itself (same turn),
 4 sets its role to ``user``. Each conversation's damaged rows, ordered by turn (nulls first, then role and text), are
-audited and repaired in one task of a grouped Pandas job: a conversation is the unit of its sequence of edits.
+audited and repaired in one task (partitions hashed by conversation and sorted, many conversations a Pandas call):
+a conversation is the unit of its sequence of edits.
 
 Audit: a row's first fault counts, in this order: blank (no character outside space, tab and line ends), duplicate
 (its role and text stand in an earlier row), truncated (its last such character is not ``.``, ``!`` or ``?``);
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -166,17 +168,36 @@ def repair_one(conv_id, turns: list, roles: list[str], texts: list[str]) -> dict
     }
 
 
-def _repair_group(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.assign(_null=rows["turn"].notna()).sort_values(["_null", "turn", "role", "text"], kind="stable")
+def _repair_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``repair_one`` of every conversation of a partition sorted by conversation and turn; a conversation cut by a
+    batch end waits for the rest of its rows."""
+    pending = None
+    for batch in batches:
+        if pending is not None:
+            batch = pd.concat([pending, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        key = list(zip(batch["conv_id"].isna(), batch["conv_id"].fillna(0)))
+        starts = [0] + [i for i in range(1, len(key)) if key[i] != key[i - 1]]
+        done = [_one(batch.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+        pending = batch.iloc[starts[-1]:].reset_index(drop=True)
+        if done:
+            yield pd.DataFrame(done)
+    if pending is not None and len(pending):
+        yield pd.DataFrame([_one(pending)])
+
+
+def _one(rows: pd.DataFrame) -> dict:
     conv = rows["conv_id"].iloc[0]
-    conv = None if pd.isna(conv) else int(conv)
     turns = [None if pd.isna(t) else int(t) for t in rows["turn"]]
-    return pd.DataFrame([repair_one(conv, turns, list(rows["role"]), list(rows["text"]))])
+    return repair_one(None if pd.isna(conv) else int(conv), turns, list(rows["role"]), list(rows["text"]))
 
 
 def repair(conversations: DataFrame) -> DataFrame:
     """One row per conversation of the input (``OUT``), also for those that damage empties."""
-    hit = damage(conversations).groupBy("conv_id").applyInPandas(_repair_group, OUT)
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
+    # a conversation stays whole in one task; many are repaired in one Pandas call
+    hit = damage(conversations).repartition("conv_id").sortWithinPartitions(*order).mapInPandas(_repair_sorted, OUT)
     ids = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
     out = ids.join(hit.withColumnRenamed("conv_id", "_c"), ids["conv_id"].eqNullSafe(F.col("_c")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
