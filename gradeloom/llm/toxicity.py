@@ -207,26 +207,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = S
     return fit_arrays(label, cut, ids, share, prior)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """``docs`` with a column ``score`` (an existing column of that name is replaced).
+def score_toxicity(docs: DataFrame, model: ToxicityModel | None, out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out`` (an existing column of that name is replaced).
 
     Whole texts are scored, in one pass without a shuffle; null and empty texts get the score of the bias.
     Without a model every score is 0.
     """
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != out]
     if model is None:
-        return docs.select(*kept, F.lit(0.0).alias("score"))
+        return docs.select(*kept, F.lit(0.0).alias(out))
     fixed = docs.sparkSession.sparkContext.broadcast(model)  # one number for each of BUCKETS
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
         return pa.array(text_scores(fixed.value, text.to_pylist()))
 
-    return docs.select(*kept, scored("text").alias("score"))
+    return docs.select(*kept, scored("text").alias(out))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score stays below the threshold, columns unchanged."""
+    """The rows of ``docs`` whose score stays below the threshold, columns unchanged (a ``score`` column of the
+    caller's too: the classifier's number goes to a name that no column of ``docs`` has)."""
     cols = docs.columns
-    return (score_toxicity(docs.withColumn("__text", F.col("text")), fit_toxicity(docs, labels))
-            .filter(F.col("score") < threshold).select(*cols))
+    out = "_toxicity"
+    while out in cols:
+        out += "_"
+    return score_toxicity(docs, fit_toxicity(docs, labels), out).filter(F.col(out) < threshold).select(*cols)

@@ -60,3 +60,14 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(SF.replace("0.001", "0.1") + "/labels.parquet").collect()
     held = [(r.toxic, got[r.doc_id].predicted) for r in labels if r.doc_id in got and got[r.doc_id].held_out]
     assert np.mean([p for y, p in held if y]) > 0.65 and np.mean([p for y, p in held if not y]) < 0.03
+
+
+def test_drop_toxic_keeps_a_callers_score(spark):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(
+        "doc_id", "text", F.lit("mine").alias("score"), F.lit(1).alias("_toxicity"))
+    kept = T.drop_toxic(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert kept.schema == docs.schema
+    rows = kept.collect()
+    assert rows and {(r.score, r._toxicity) for r in rows} == {("mine", 1)}
+    assert len(rows) <= docs.count()
