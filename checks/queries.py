@@ -51,11 +51,12 @@ def merged(spark: SparkSession, sf_dir: str, null_keys: str = "match", **options
     return cases.merge_cases(ultrasound(spark, sf_dir), operative(spark, sf_dir), null_keys=null_keys, **options)
 
 
-def _grade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grade_counts(spark: SparkSession, sf_dir: str, labelled_only: bool = False) -> DataFrame:
     """Pairs of grades over all report pairs, counted without making the pairs."""
     us = ultrasound(spark, sf_dir).select("case_id", F.col("severity_grade").alias("severity_grade_us"))
     op = operative(spark, sf_dir).select("case_id", F.col("severity_grade").alias("severity_grade_or"))
-    return cases.pair_counts(us, op, "case_id", "severity_grade_us", "severity_grade_or", null_keys="match")
+    return cases.pair_counts(us, op, "case_id", "severity_grade_us", "severity_grade_or", null_keys="match",
+                             labelled_only=labelled_only)
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,9 +270,8 @@ def gold(spark, sf_dir):
 
 
 def gold_matrix(spark, sf_dir):
-    return (_grade_counts(spark, sf_dir).select(F.col("severity_grade_or").alias("truth"),
-                                                F.col("severity_grade_us").alias("predicted"), "n")
-            .filter("truth is not null and predicted is not null"))
+    return _grade_counts(spark, sf_dir, labelled_only=True).select(
+        F.col("severity_grade_or").alias("truth"), F.col("severity_grade_us").alias("predicted"), "n")
 
 
 def confusion_matrix(spark, sf_dir):

@@ -77,17 +77,24 @@ def skew_safe_inner_join(left: DataFrame, right: DataFrame, key: str, *, null_ke
 
 
 def pair_counts(left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str, *,
-                null_keys: str = "drop") -> DataFrame:
+                null_keys: str = "drop", labelled_only: bool = False) -> DataFrame:
     """(left_value, right_value, n): how many pairs of the join have each pair of values, without making the pairs.
 
     Each side is counted by key and value first, so a key adds at most one row for each pair of values.
+    ``labelled_only`` leaves out pairs with a null value. It filters the summed counts, not the rows: a filter on the
+    values would be pushed into both inputs and parse every report once for it and once for the value.
     """
     if null_keys not in ("match", "drop"):
         raise ValueError("null_keys must be 'match' or 'drop'")
     l = left.groupBy(F.col(key).alias("_l"), left_value).agg(F.count(F.lit(1)).alias("_ln"))
     r = right.groupBy(F.col(key).alias("_r"), right_value).agg(F.count(F.lit(1)).alias("_rn"))
     same = F.col("_l").eqNullSafe(F.col("_r")) if null_keys == "match" else F.col("_l") == F.col("_r")
-    return l.join(r, same).groupBy(left_value, right_value).agg(F.sum(F.col("_ln") * F.col("_rn")).alias("n"))
+    pairs = F.col("_ln") * F.col("_rn")
+    if not labelled_only:
+        return l.join(r, same).groupBy(left_value, right_value).agg(F.sum(pairs).alias("n"))
+    both = F.col(left_value).isNotNull() & F.col(right_value).isNotNull()
+    return (l.join(r, same).groupBy(left_value, right_value).agg(F.sum(F.when(both, pairs)).alias("n"))
+            .where(F.col("n").isNotNull()))
 
 
 def merge_cases(ultrasound: DataFrame, operative: DataFrame, *, null_keys: str = "drop",

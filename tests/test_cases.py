@@ -49,3 +49,13 @@ def test_whole_table_counts(spark):
     assert Q.merged(spark, SF).count() == 1101
     assert Q.merged(spark, SF, null_keys="drop").count() == 1099
     assert Q.merged(spark, SF, hot_rows=2).count() == 1101
+
+
+def test_pair_counts_labelled_only(spark):
+    from gradeloom.operators import cases as C
+    left = spark.createDataFrame([("a", "x"), ("a", None), (None, "y"), ("b", "x")], "k string, u string")
+    right = spark.createDataFrame([("a", "p"), ("a", None), (None, "q"), ("b", "p")], "k string, o string")
+    every = {(r.u, r.o): r.n for r in C.pair_counts(left, right, "k", "u", "o", null_keys="match").collect()}
+    only = {(r.u, r.o): r.n for r in C.pair_counts(left, right, "k", "u", "o", null_keys="match",
+                                                  labelled_only=True).collect()}
+    assert only == {k: v for k, v in every.items() if None not in k} == {("x", "p"): 2, ("y", "q"): 1}
