@@ -3,11 +3,11 @@
 A candidate is a run of key characters with a digit, or of a known key format. The forest (Spark ML) sees its length,
 character classes and entropy, its character transitions (mean log-probability under a bigram table of ordinary words), the
 share of its letters that dictionary words cover, its path (the source column) and the words beside it. Bigrams
-and dictionary come from the texts of the training sample.
+and dictionary are counted over all texts that may hold a candidate; the dictionary is the ``DICTIONARY`` most frequent words.
 
-Labelled findings train it: a table of (doc_id, start, end, is_secret). Without one, findings in a bounded sample of
-documents (``sample``, least hash of doc_id) are labelled by rule: a known format, or a value that stands behind a
-key name and a sign of assignment, is a secret; other candidates are not.
+Labelled findings train it: a table of (doc_id, start, end, is_secret). Without one, all findings are labelled by rule:
+a known format, or a value that stands behind a key name and a sign of assignment, is a secret; other candidates are
+not. ``sample`` bounds the documents of both (least hash of doc_id); by default none is left out.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +26,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.storage import stored
+from gradeloom.llm.storage import scratch, stored
 
-SAMPLE = 2000
+SAMPLE = None
 DICTIONARY = 20_000
+COUNTED_WORDS = 200_000  # distinct words a task counts before it hands them on
 THRESHOLD = 0.5
 TREES, DEPTH = 40, 8
 
@@ -46,6 +47,16 @@ FEATURES = ("length", "digits", "upper", "lower", "other", "entropy", "hex", "tr
             "quoted", "word_before", "word_after", "format", *(f"path{i}" for i in range(8)))
 
 
+def _pairs(counts: Mapping[str, int]) -> np.ndarray:
+    """How often each character follows each other one."""
+    pairs = np.zeros((len(_LETTERS) + 1,) * 2, np.int64)
+    for word, n in counts.items():
+        at = [_CODE.get(c, len(_LETTERS)) for c in word]
+        for a, b in zip(at, at[1:]):
+            pairs[a, b] += n
+    return pairs
+
+
 @dataclass(frozen=True)
 class Language:
     """What ordinary words look like: log-probabilities of character pairs, and frequent words."""
@@ -55,12 +66,11 @@ class Language:
 
     @classmethod
     def of(cls, counts: Counter) -> Language:
-        pairs = np.ones((len(_LETTERS) + 1,) * 2)
-        for word, n in counts.items():
-            at = [_CODE.get(c, len(_LETTERS)) for c in word]
-            for a, b in zip(at, at[1:]):
-                pairs[a, b] += n
-        frequent = sorted(counts, key=lambda w: (-counts[w], w))[:DICTIONARY]
+        return cls.counted(_pairs(counts), sorted(counts, key=lambda w: (-counts[w], w))[:DICTIONARY])
+
+    @classmethod
+    def counted(cls, pairs: np.ndarray, frequent: list[str]) -> Language:
+        pairs = pairs + 1.0
         return cls(np.log(pairs / pairs.sum(1, keepdims=True)), frozenset(w for w in frequent if len(w) >= 4))
 
     def transitions(self, text: str) -> float:
@@ -111,11 +121,26 @@ def features(text: str, start: int, end: int, path: str, language: Language) ->
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter = Counter()
+
+    def so_far() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
     for batch in batches:
-        counts: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            counts.update(w.lower() for w in _WORD.findall(text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        for text in batch.column(0):
+            counts.update(w.lower() for w in _WORD.findall(text.as_py()))
+            if len(counts) >= COUNTED_WORDS:
+                yield so_far()
+                counts.clear()
+    yield so_far()
+
+
+def _letter_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = np.zeros((len(_LETTERS) + 1,) * 2, np.int64)
+    for batch in batches:
+        pairs += _pairs(dict(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+    at = np.nonzero(pairs)
+    yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(pairs[at])], ["a", "b", "n"])
 
 
 _SHAPE = "doc_id long, start long, end long, rule string, label boolean, secret_sha256 string, features array<double>"
@@ -125,7 +150,8 @@ def _found(language):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, path, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            # One text at a time: a batch may hold long ones.
+            for doc, path, text in zip(*(batch.column(i).to_pylist() for i in range(2)), map(pa.StringScalar.as_py, batch.column(2)), strict=True):
                 for start, end, rule, label in candidates(text):
                     rows.append((doc, start, end, rule, label, hashlib.sha256(text[start:end].encode()).hexdigest(),
                                  features(text, start, end, path, language.value)))
@@ -146,21 +172,28 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def fit_secrets(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE) -> SecretModel:
-    """Train on the findings of at most ``sample`` documents that hold a candidate (those of ``labelled`` where given).
+def fit_secrets(docs: DataFrame, labelled: DataFrame | None = None, sample: int | None = SAMPLE) -> SecretModel:
+    """Train on the findings of all documents that hold a candidate (those of ``labelled`` where given), or of ``sample`` ones.
 
     Without findings of both classes there is no forest, and the rule's label decides.
     """
+    with scratch(docs.sparkSession):
+        return _fit(docs, labelled, sample)
+
+
+def _fit(docs: DataFrame, labelled: DataFrame | None, sample: int | None) -> SecretModel:
     spark, own = docs.sparkSession, _rows(docs)
-    some = own.filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[A-Za-z0-9+/_-]{12,}")).select("doc_id")
+    picked = own.filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[A-Za-z0-9+/_-]{12,}"))
     if labelled is not None:
-        some = some.join(labelled.select("doc_id"), "doc_id", "left_semi")
-    ids = some.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    picked = stored(own.join(F.broadcast(spark.createDataFrame(ids, "doc_id long")), "doc_id").select(*own.columns))
-    # Words of the sample, the most frequent ones only.
-    counted = picked.select("text").mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(2 * DICTIONARY).collect()
-    language = Language.of(Counter({r.word: r.n for r in top}))
+        picked = picked.join(labelled.select("doc_id"), "doc_id", "left_semi")
+    if sample is not None:
+        ids = picked.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+        picked = stored(picked.join(F.broadcast(spark.createDataFrame(ids, "doc_id long")), "doc_id").select(*own.columns))
+    counted = stored(picked.select("text").mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    pairs = np.zeros((len(_LETTERS) + 1,) * 2)
+    for r in counted.mapInArrow(_letter_pairs, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        pairs[r.a, r.b] = r.n
+    language = Language.counted(pairs, [r.word for r in counted.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()])
     found = picked.mapInArrow(_found(spark.sparkContext.broadcast(language)), _SHAPE)
     if labelled is not None:
         truth = labelled.select("doc_id", "start", "end", F.col("is_secret").cast("boolean").alias("label")).filter("label is not null")
@@ -179,7 +212,8 @@ def scan_secrets(docs: DataFrame, model: SecretModel, threshold: float = THRESHO
     have none; repeated rows and null ids come back as they are; columns other than doc_id, text and source are ignored.
     """
     fixed = docs.sparkSession.sparkContext.broadcast(model.language)  # DICTIONARY words
-    found = _rows(docs).mapInArrow(_found(fixed), _SHAPE)
+    with scratch(docs.sparkSession) as keep:  # small batches while the texts are read
+        found = keep(_rows(docs).mapInArrow(_found(fixed), _SHAPE))
     if model.forest is None:
         scored = found.withColumn("score", F.col("label").cast("double"))
     else:

@@ -58,3 +58,21 @@ def test_empty_and_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(SF + "/documents.parquet").collect()}
     got = {(r.doc_id, r.start, r.end) for r in op3_secret_scan(spark, SF).collect()}
     assert got == {(i, a, b) for i, t in texts.items() for a, b, _, _ in m.candidates(t)}
+
+
+def test_the_model_comes_from_all_documents(spark, monkeypatch):
+    """Words and findings beyond any 2,000 documents count."""
+    rows = [(i, "plain-2024-notes-about-nothing and more", "s", 0, "") for i in range(2300)]
+    rows += [(10_000 + i, f'token = "{i:04d}abcdef0123" zebra', "s", 0, "") for i in range(3)]
+    table = spark.createDataFrame(rows, DOCS).repartition(5)
+    trained = []
+    fit = m.RandomForestClassifier.fit
+    monkeypatch.setattr(m.RandomForestClassifier, "fit", lambda self, df: trained.append(df.groupBy("label").count().collect()) or fit(self, df))
+    model = m.fit_secrets(table)
+    assert {r.label: r["count"] for r in trained[0]} == {0.0: 2300, 1.0: 3}
+    assert {"zebra", "plain", "token"} <= model.language.words
+    whole = Counter(w.lower() for _, text, *_ in rows for w in m._WORD.findall(text))
+    assert (m.Language.of(whole).pairs == model.language.pairs).all()
+    # Counts handed on in parts are the same.
+    monkeypatch.setattr(m, "COUNTED_WORDS", 2)
+    assert (m.fit_secrets(table).language.pairs == model.language.pairs).all()
