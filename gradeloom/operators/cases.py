@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from gradeloom.operators.reports import tag_family
 from gradeloom.operators.sizes import broadcast_if_small
 
-# A key is hot from this many rows on, so a table has at most rows / HOT_ROWS of them.
-HOT_ROWS = 1_000_000
+# A key is hot from this many rows on, so a table has at most rows / HOT_ROWS of them. A cell of a hot key's grid makes
+# about HOT_ROWS * HOT_ROWS pairs, which is what bounds a task: rows of a key grow with the table, their pairs with its square.
+HOT_ROWS = 1_000
 
 
 def _heavy_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:

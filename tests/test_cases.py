@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import queries as Q
 from gradeloom.operators.cases import hot_keys, merge_cases, skew_safe_inner_join
@@ -59,3 +60,26 @@ def test_pair_counts_labelled_only(spark):
     only = {(r.u, r.o): r.n for r in C.pair_counts(left, right, "k", "u", "o", null_keys="match",
                                                   labelled_only=True).collect()}
     assert only == {k: v for k, v in every.items() if None not in k} == {("x", "p"): 2, ("y", "q"): 1}
+
+
+def test_no_task_makes_all_pairs_of_a_frequent_key(spark):
+    """5,000 x 4,000 reports of one case, and of none, are spread over a grid by default."""
+    def side(n, name):
+        return spark.range(n).select(F.concat(F.lit(name), "id").alias("report_id"), F.when(F.col("id") % 2 == 0, "c").alias("case_id"))
+
+    left, right = side(10_000, "u"), side(8_000, "o")
+    hot = {r.hot_key: (r.l_slices, r.r_slices) for r in hot_keys(left, right, "case_id").collect()}
+    assert hot == {"c": (5, 4), None: (5, 4)}
+    out = merge_cases(left, right, null_keys="match")
+    per_task = out.groupBy(F.spark_partition_id().alias("p"), "case_id").count()
+    assert out.count() == 2 * 5_000 * 4_000
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in fixed}
+    try:
+        for name, value in fixed.items():
+            spark.conf.set(name, value)
+        counts = [r["count"] for r in per_task.collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert max(counts) < 5_000 * 4_000 / 2
