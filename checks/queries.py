@@ -116,8 +116,8 @@ def label_map(spark, sf_dir):
     return labels.label_map(ultrasound(spark, sf_dir), "severity_grade")
 
 
-def answers(spark, sf_dir):
-    us = ultrasound(spark, sf_dir)
+def answers(spark, sf_dir, us=None):
+    us = ultrasound(spark, sf_dir) if us is None else us
     number = F.regexp_extract("report_id", "([0-9]+)$", 1).cast("long") % 9
     fixed = ("Not complicated", " no signs of appendicitis ", "mild", "rupture", "complicated", None)
     response = F.col("impression")
@@ -273,8 +273,8 @@ def gold(spark, sf_dir):
         F.col("severity_grade_us").alias("manually_extracted_grade"))
 
 
-def gold_matrix(spark, sf_dir):
-    return _grade_counts(spark, sf_dir, labelled_only=True).select(
+def gold_matrix(spark, sf_dir, us=None):
+    return _grade_counts(spark, sf_dir, labelled_only=True, us=us).select(
         F.col("severity_grade_or").alias("truth"), F.col("severity_grade_us").alias("predicted"), "n")
 
 
@@ -321,16 +321,16 @@ def auc_ovr(spark, sf_dir):
 RESULT_NUMBERS = ("accuracy", "precision", "recall", "f1_score", "auc", "kappa")
 
 
-def _annotator(spark, sf_dir):
-    return evaluation.annotator_result(gold_matrix(spark, sf_dir))
+def _annotator(spark, sf_dir, us=None):
+    return evaluation.annotator_result(gold_matrix(spark, sf_dir, us))
 
 
 def annotator_eval(spark, sf_dir):
     return rounded(_annotator(spark, sf_dir), *RESULT_NUMBERS)
 
 
-def _responder(spark, sf_dir):
-    rows = answers(spark, sf_dir)
+def _responder(spark, sf_dir, us=None):
+    rows = answers(spark, sf_dir, us)
     truth = rows.filter("severity_grade is not null")
     return evaluation.evaluate_responder(rows, truth, "severity_grade", "Responder", sample_size=103)
 
@@ -341,8 +341,10 @@ def responder_eval(spark, sf_dir):
 
 def _results(spark, sf_dir):
     scored = class_scores(spark, sf_dir)
+    # Two methods read the ultrasound reports, the responder's sample and answers one after the other: parsed once.
+    us = cut_lineage(ultrasound(spark, sf_dir).select("report_id", "case_id", "severity_grade", "impression"))
     return [evaluation.evaluate_predictions(scored, "y", "predicted", "Scores", probability="scores"),
-            _annotator(spark, sf_dir).drop("unseen_rows"), None, _responder(spark, sf_dir)]
+            _annotator(spark, sf_dir, us).drop("unseen_rows"), None, _responder(spark, sf_dir, us)]
 
 
 def comparison_table(spark, sf_dir):

@@ -5,7 +5,9 @@ from collections import Counter
 
 import pytest
 
+from checks import queries
 from gradeloom.operators import evaluation, metrics
+from tests.conftest import SF
 
 # (true, predicted): rows, of the published run of 315 test rows.
 PUBLISHED = {(0, 0): 3, (1, 1): 48, (2, 2): 19, (3, 3): 243, (3, 1): 1, (3, 2): 1}
@@ -121,3 +123,11 @@ def test_pairing_by_key(spark):
     p = spark.createDataFrame([(2, "b"), (1, "c"), (3, "a")], "report_id int, p string")
     got = Counter((r["y"], r["p"]) for r in metrics.pair_predictions(y, p, "report_id").collect())
     assert got == {("a", "c"): 1, ("b", "b"): 1, ("b", None): 1}
+
+
+def test_methods_that_read_the_reports_share_one_parse(spark, monkeypatch):
+    parsed = []
+    parse = queries.ultrasound
+    monkeypatch.setattr(queries, "ultrasound", lambda *a: parsed.append(1) or parse(*a))
+    assert queries.comparison_table(spark, SF).count() == 3
+    assert len(parsed) == 1
