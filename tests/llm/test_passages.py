@@ -160,6 +160,36 @@ def test_fuzzy_passages(spark, rows):
     assert exact <= set(found) and not set(found) - {i for i, *_ in spans_by_words(rows, 40)} - set(range(100, 130))
 
 
+def test_copies_whose_phrases_stand_in_other_texts(spark):
+    rng = random.Random(31)
+    rows, key = [], 0
+    for _ in range(12):
+        phrases = [words(rng, 24, 10**6) for _ in range(3)]
+        passage = sum(phrases, [])
+        # Many texts hold one phrase each, so the two that hold all are seldom the ones chosen from a seed's list.
+        for p in phrases * 30 + [passage] * 2:
+            rows.append((key, " ".join(words(rng, 30, 10**6) + p + words(rng, 30, 10**6)), "", 0))
+            key += 1
+    out = chain_dedup.fuzzy_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id for r in out} == {i for i, *_ in spans_by_words(rows, 72)} and len(out) == 24
+
+
+def test_periodic_passages(spark):
+    rng = random.Random(32)
+    rows = [(i, " ".join(words(rng, 30, 10**6) + ["is", "not"] * (40 + i) + words(rng, 30, 10**6)), "", 0) for i in range(30)]
+    out = {r.doc_id: (r.start, r.end) for r in chain_dedup.fuzzy_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    want = {i: (a, b) for i, a, b in spans_by_words(rows, 50)}
+    assert set(out) == set(want) and all(
+        len(rows[i][1][max(a, out[i][0]):min(b, out[i][1])].split()) > len(rows[i][1][a:b].split()) - chain_dedup.K - chain_dedup.WINDOW for i, (a, b) in want.items())
+
+
+def test_places_of_runs():
+    assert chain_dedup._places([3, 90], [5]) == {(3, 5), (90, 5)}
+    one, two = list(range(0, 40, 2)), list(range(100, 110, 2))
+    got = chain_dedup._places(one, two)
+    assert {x for x, _ in got} == set(one) and {y for _, y in got} == set(two) and len(got) <= 2 * len(one)
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], DOCS)
     assert suffix_dedup.repeated_passages(empty).collect() == [] and chain_dedup.fuzzy_passages(empty).collect() == []
