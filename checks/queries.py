@@ -151,7 +151,8 @@ def token_lemma(spark, sf_dir):
     cleaned = clean_text(spark, sf_dir)
     forms = (cleaned.select(F.explode(X.words("cleaned_text")).alias("form")).distinct()
              .filter(F.col("form").endswith("s") & (F.char_length("form") > 3)))
-    dictionary = forms.select("form", F.left("form", F.char_length("form") - 1).alias("lemma"))
+    # Written once: the texts are cleaned for it once, however often the dictionary is read.
+    dictionary = cut_lineage(forms.select("form", F.left("form", F.char_length("form") - 1).alias("lemma")))
     return text_prep.normalize_tokens(cleaned, "cleaned_text", "processed_text", mode="content",
                                       dictionary=dictionary, row_id=["doc_id"]).select("doc_id", "processed_text")
 

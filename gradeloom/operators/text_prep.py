@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from gradeloom.operators.lookup import lookup_join
 from gradeloom.operators.sizes import SMALL_ROWS, cut_lineage, small_table
 
 MIN_LEMMA = 3
+ROW_SLOTS = 64     # maps of a row's own forms
+MARK_BITS = 1 << 23
 
 
 def _lemma_lookup(dictionary: DataFrame) -> tuple[Column, int]:
@@ -32,44 +34,67 @@ def _lemma_lookup(dictionary: DataFrame) -> tuple[Column, int]:
     return F.from_json(F.lit(json.dumps(slots)), "array<map<string,string>>"), len(slots)
 
 
+def _slot(token: Column | str, n: int) -> Column:
+    token = F.col(token) if isinstance(token, str) else token
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(n)).cast("int")
+
+
+def _marked_forms(dictionary: DataFrame) -> Callable[[Column], Column]:
+    """A test that each form of the dictionary passes, and of other tokens the fewer, the smaller it is.
+
+    Each form sets one of MARK_BITS bits by its hash, so the constant (1 MB) does not grow with the dictionary.
+    """
+    bit = lambda t: F.pmod(F.xxhash64(t), F.lit(MARK_BITS))
+    rows = (dictionary.select(bit(F.col("form")).alias("b"))
+            .groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")))
+    words = [0] * (MARK_BITS // 64)
+    for row in rows.toArrow().to_pylist():
+        words[row["word"]] = row["bits"]
+    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    return lambda t: F.getbit(F.get(table, F.shiftright(bit(t), 6).cast("int")), (bit(t) % 64).cast("int")) == 1
+
+
 def lemmatize(df: DataFrame, tokens: str, dictionary: DataFrame, out: str,
               row_id: Sequence[str] = (), small_rows: int = SMALL_ROWS) -> DataFrame:
     """Replace each token by its lemma; tokens outside the dictionary stay.
 
     ``dictionary`` has (form, lemma); of a form's lemmas the first in order counts. A
-    small dictionary is looked up within each row, so the texts are not shuffled. A
-    larger one is joined to the exploded tokens, which are put together again by
-    ``row_id`` (a unique key) or, without one, by a number that each row gets.
+    small dictionary is looked up within each row, so the texts are not shuffled. Of a
+    larger one each row gets the part it needs, by ``row_id`` (a unique key) or, without
+    one, by a number that each row gets: a row's distinct tokens are joined to it, without
+    most of those that it lacks.
     """
     pairs = (dictionary.select("form", "lemma").filter("form is not null and lemma is not null")
              .groupBy("form").agg(F.min("lemma").alias("lemma")))
     local = small_table(pairs, small_rows)
     if local is not None:
         table, n_slots = _lemma_lookup(local)
-        slot = lambda t: F.get(table, F.pmod(F.crc32(t.cast("binary")), F.lit(n_slots)).cast("int"))
-        return df.withColumn(out, F.transform(tokens, lambda t: F.coalesce(F.element_at(slot(t), t), t)))
+        entries = lambda t: F.get(table, _slot(t, n_slots))
+        return df.withColumn(out, F.transform(tokens, lambda t: F.coalesce(F.element_at(entries(t), t), t)))
     numbered = not row_id
     if numbered:
         # Written once, so that both uses below see the same numbers.
         df, row_id = cut_lineage(df.withColumn("_row_number", F.monotonically_increasing_id())), ["_row_number"]
     ids = list(row_id)
-    exploded = (df.select(*ids, F.posexplode_outer(tokens).alias("_pos", "_token"))
-                .filter(F.col("_token").isNotNull()))
+    pairs = cut_lineage(pairs)
+    marked = _marked_forms(pairs)
+    forms = df.select(*ids, F.explode(F.filter(F.array_distinct(tokens), marked)).alias("_token"))
     table = pairs.select(F.col("form").alias("_form"), F.col("lemma").alias("_found"))
-    joined = lookup_join(exploded, table, {"_token": "_form"}, "left", spread_by=[*ids, "_pos"],
-                         small_rows=small_rows)
-    again = (joined.groupBy(*ids)
-             .agg(F.sort_array(F.collect_list(
-                 F.struct("_pos", F.coalesce("_found", "_token").alias("_lemma")))).alias("_all"))
-             .select(*[F.col(i).alias(f"_id_{i}") for i in ids],
-                     F.transform("_all", lambda s: s["_lemma"]).alias("_lemmas")))
+    # Equal forms of a row have one lemma, so rows that share an id can share their forms, too.
+    known = (lookup_join(forms, table, {"_token": "_form"}, spread_by=[*ids, "_token"], small_rows=small_rows)
+             .withColumn("_slot", _slot("_token", ROW_SLOTS)).repartition(*ids)
+             .groupBy(*ids, "_slot").agg(F.map_from_entries(F.collect_set(F.struct("_token", "_found"))).alias("_map"))
+             .groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_map"))).alias("_maps"))
+             .withColumnsRenamed({i: f"_id_{i}" for i in ids}))
     same_row = [F.col(i).eqNullSafe(F.col(f"_id_{i}")) for i in ids]
     condition = same_row[0]
     for c in same_row[1:]:
         condition = condition & c
-    return (df.join(again, condition, "left")
-            .withColumn(out, F.coalesce("_lemmas", F.array().cast("array<string>")))
-            .drop("_lemmas", *[f"_id_{i}" for i in ids], *(["_row_number"] if numbered else [])))
+    found = lambda t: F.element_at(F.element_at("_maps", _slot(t, ROW_SLOTS)), t)
+    lemmas = F.transform(F.filter(tokens, lambda t: t.isNotNull()), lambda t: F.coalesce(found(t), t))
+    return (df.join(known, condition, "left")
+            .withColumn(out, F.coalesce(lemmas, F.array().cast("array<string>")))
+            .drop("_maps", *[f"_id_{i}" for i in ids], *(["_row_number"] if numbered else [])))
 
 
 def normalize_tokens(df: DataFrame, text: str, out: str, *, mode: str = "plain",

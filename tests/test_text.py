@@ -98,6 +98,20 @@ def test_lemma_paths_agree(spark):
     assert small[5]["l"] == ["wall", "x", "be", "abc", "abc"]
 
 
+def test_a_large_dictionary_moves_only_the_forms_that_rows_need(spark, monkeypatch):
+    from gradeloom.operators import text_prep
+
+    rows = [(i, ["walls", "was", f"x{i}", "walls", None] * 20) for i in range(50)] + [(None, ["ab"]), (50, None), (51, [])]
+    df = spark.createDataFrame(rows, "id int, w array<string>")
+    moved, join = [], text_prep.lookup_join
+    monkeypatch.setattr(text_prep, "lookup_join", lambda left, *a, **b: moved.append(left.count()) or join(left, *a, **b))
+    out = lemmatize(df, "w", spark.createDataFrame(DICTIONARY, "form string, lemma string"), "l", ["id"], small_rows=0)
+    got = {r["id"]: r["l"] for r in out.collect()}
+    assert got == {**{i: ["wall", "be", f"x{i}", "wall"] * 20 for i in range(50)}, None: ["abc"], 50: [], 51: []}
+    # Two forms of each of 50 rows and one of another; the rest is not in the dictionary (4,000 tokens before).
+    assert 101 <= moved[0] <= 103
+
+
 def test_prepared_columns(spark):
     df = spark.createDataFrame([("Free FLUID, 12 mm",), (None,)], "t string")
     rows = prepare_texts(df, "t").collect()
