@@ -103,6 +103,39 @@ def test_chains_against_brute_force():
     assert diagonal[0] == [0, 1, 2, 3]
 
 
+def test_chains_of_many_pairs_at_once(monkeypatch):
+    rng = random.Random(22)
+    pairs = [sorted({(rng.randrange(120), rng.randrange(90)) for _ in range(rng.randrange(50))}) for _ in range(30)]
+    rows = [(i, x, y) for i, matches in enumerate(pairs) for x, y in matches]
+    pair, x, y = (np.array(c) for c in zip(*rows))
+    for held in (1, 40, chain_dedup.CANDIDATES):
+        monkeypatch.setattr(chain_dedup, "CANDIDATES", held)
+        got = {}
+        for i, chain in chain_dedup.pair_chains(pair, x, y):
+            got.setdefault(i, []).append([(int(x[j]), int(y[j])) for j in chain])
+        assert got == {i: [[m[j] for j in c] for c in chain_dedup.chains(*map(list, zip(*m)))] for i, m in enumerate(pairs) if m}
+
+
+def test_matches_of_many_pairs_at_once():
+    import pyarrow as pa
+
+    rng = random.Random(23)
+    rows = [{"a": i, "b": 1000 + i, **{c: [{"pos": p, "seed": rng.randrange(12)} for p in range(rng.randrange(25))] for c in ("seeds_a", "seeds_b")}} for i in range(60)]
+    want = {}
+    for r in rows:
+        of = [{}, {}]
+        for places, c in zip(of, ("seeds_a", "seeds_b")):
+            for s in r[c]:
+                places.setdefault(s["seed"], []).append(s["pos"])
+        found = sorted({m for s in of[0].keys() & of[1].keys() for m in chain_dedup._places(of[0][s], of[1][s])})
+        if len(found) > 1:
+            want[r["a"], r["b"]] = found
+    # A slice of a batch: its lists don't start at the first value.
+    batch = pa.RecordBatch.from_pylist([rows[0], *rows]).slice(1)
+    got = {(r["a"], r["b"]): [(m["x"], m["y"]) for m in r["matches"]] for b in chain_dedup._match(iter([batch])) for r in b.to_pylist()}
+    assert got == want
+
+
 def test_chain_scores_against_all_predecessors():
     rng = random.Random(12)
     k, reach = chain_dedup.K, chain_dedup.MAX_GAP + chain_dedup.K
