@@ -22,8 +22,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     if large:
         out = linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b")))
+        out = linked.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     return out.filter("a <> b").distinct()
 
 
@@ -39,10 +38,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         wide = _star(_both_ways(now), True)
         after = stored(_star(wide.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False))
         # Stars only: no node is both a centre and a leaf, and no leaf has two centres.
-        leaves = after.select(F.col("a").alias("n"), F.lit(1).alias("leaf"))
-        centres = after.select(F.col("b").alias("n")).distinct().select("n", F.lit(100).alias("leaf"))
+        ends = after.select(F.inline(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")),
+                                             F.struct(F.col("b").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))))
         now = after
-        if leaves.unionByName(centres).groupBy("n").agg(F.sum("leaf").alias("s")).filter("s > 1 and s <> 100").isEmpty():
+        if ends.groupBy("n").agg(F.sum("leaf").alias("s"), F.max("centre").alias("c")).filter("s > 1 or s = 1 and c = 1").isEmpty():
             nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

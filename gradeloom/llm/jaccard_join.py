@@ -2,7 +2,9 @@
 
 d = 1 - Jaccard is a metric, and sets link when d <= e. Two linked sets share an element of their prefixes, the
 rarest |x| - ceil(t |x|) + 1 elements, so every list of sets with a common prefix element is a place where links may
-be. A short list is compared pair by pair. A long one is split by pivots taken from it:
+be. A list holds sets of one size band and those of the band below, which as the smaller ones need fewer prefix elements; and a
+pair counts only where the elements after the common one can still make a link. A short list is compared pair by pair. A long
+one is split by pivots taken from it:
 
 - Each of its sets goes to the Voronoi region of its nearest pivot, and to every other region whose pivot is at
   most 2e farther: by the triangle inequality both ends of a link meet in a region.
@@ -20,6 +22,7 @@ the same links. Elements are 64-bit hashes of the n-grams.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,6 +38,7 @@ from gradeloom.llm.storage import scratch, small_batches, stored
 SKETCH, PART = 1 << 22, 1 << 12  # counters, and how many of them travel together
 LIST_MAX = (32, 1024)  # pairs of a list that are compared one by one; the last level has no such limit
 BROADCAST_IDS = 500_000
+BAND_SLACK = 1e-6  # size bands are wider than the ratio of linked sets by it, so rounding never puts two such sets two bands apart
 
 
 def text_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -174,23 +178,28 @@ WHOLE = -(1 << 63)  # the region of the first level, which is all sets and has t
 
 
 def _postings(state: DataFrame) -> DataFrame:
-    """region, id, c, h, kind: the prefix elements of each difference, the ones rarest in the region first."""
+    """region, id, c, h, kind, rank: the prefix elements of each difference, the ones rarest in the region first."""
     elements = state.select("region", "id", "c", "core", "short", "deep", F.explode("delta").alias("h"))
     rare = elements.groupBy("region", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Elements that no other set has can't meet one, but they fill the prefix.
     ranked = elements.join(rare, ["region", "h"], "left").withColumn("rank", F.row_number().over(
         Window.partitionBy("region", "id").orderBy(F.coalesce("n", F.lit(1)), "h")))
     kind = F.when(F.col("rank") > F.col("short"), DEEP).when(F.col("core"), CORE).otherwise(OUTER)
-    return ranked.filter("rank <= deep and n > 1").select("region", "id", "c", "h", kind.alias("kind"))
+    return ranked.filter("rank <= deep and n > 1").select("region", "id", "c", "h", kind.alias("kind"), "rank")
 
 
 def _short_pairs(lists: DataFrame, window: float) -> DataFrame:
-    """Pairs of each list, without those that are connected already or that the distances to the region's pivot exclude."""
-    members = lists.groupBy("region", "h").agg(F.sort_array(F.collect_set(F.struct("kind", "id", "c", "dn", "n"))).alias("l"))
+    """Pairs of each list, without those that are connected already or that the distances to the region's pivot exclude.
+
+    A link's differences share at least (x.dn + y.dn - window * (x.n + y.n)) / 2 elements. In the list of the first one, all
+    others come after it in both, so the smaller number of elements that are left after it must do.
+    """
+    members = lists.groupBy("region", "h").agg(F.sort_array(F.collect_set(F.struct("kind", "id", "c", "dn", "n", "rank"))).alias("l"))
     first = members.select("region", "l", F.posexplode("l").alias("i", "x")).filter(F.col("x.kind") < DEEP)
     pairs = first.select("region", "x", F.explode(F.expr(
         f"filter(slice(l, i + 2, size(l)), y -> y.c <> x.c and (y.kind < {DEEP} or x.kind = {CORE}) "
-        f"and abs(x.dn - y.dn) <= {window} * (x.n + y.n) + 1e-9 and abs(x.n - y.n) <= {window} * (x.n + y.n) + 1e-9)")).alias("y"))
+        f"and abs(x.dn - y.dn) <= {window} * (x.n + y.n) + 1e-9 and abs(x.n - y.n) <= {window} * (x.n + y.n) + 1e-9 "
+        f"and x.dn + y.dn - {window} * (x.n + y.n) <= 2 * (1 + least(x.dn - x.rank, y.dn - y.rank)) + 1e-9)")).alias("y"))
     return pairs.select("region", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).groupBy("a", "b").agg(
         F.min("region").alias("region")).withColumn("pivot", F.lit(False))
 
@@ -213,26 +222,34 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     """Documents (doc_id, n_shingles, rep) and links (a, b) between representatives.
 
     Documents of equal sets share the least doc_id as ``rep``. The links connect exactly the sets that pairs of
-    Jaccard at least percent/100 connect; within a component no more links than connect it are looked for.
+    Jaccard at least percent/100 connect, but need not be such pairs; within a component no more of these than connect it
+    are looked for.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(sketch(docs, k))  # SKETCH numbers, whatever the input
     rows = stored(docs.mapInArrow(_prefixes(k, percent, counts), "doc_id long, n long, key binary, prefix array<long>, centre double"))
+    counts.destroy()
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "key").agg(F.min("doc_id").alias("rep"))
     reps = stored(classes)
     window = (100 - percent) / (100 + percent)
     eps = 1 - percent / 100
     own = rows.join(reps.select("key", "rep"), "key").filter("doc_id = rep")
     # c: the component of a set by the links so far. Connected sets need not be compared.
-    state = own.select(F.lit(WHOLE).alias("region"), F.col("rep").alias("id"), F.col("rep").alias("c"),
-                       F.col("n").alias("dn"), "n", "centre", F.col("prefix").alias("delta"), F.lit(False).alias("core"),
-                       F.lit(0).alias("short"), F.lit(0).alias("deep"), F.lit(None).cast("binary").alias("bytes"))
+    # A set meets those of its own size band and, as the smaller one, those of the next band.
+    band = F.lit(WHOLE) + F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) + BAND_SLACK))
+    smaller = F.expr(f"slice(prefix, 1, int(n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1))")
+    state = own.select(F.explode(F.array(F.struct(band.alias("region"), F.lit(True).alias("core"), F.col("prefix").alias("delta")),
+                                         F.struct((band + 1).alias("region"), F.lit(False).alias("core"), smaller.alias("delta")))).alias("s"),
+                       F.col("rep").alias("id"), "n", "centre").select(
+        "s.region", "id", F.col("id").alias("c"), F.col("n").alias("dn"), "n", "centre", "s.delta", "s.core",
+        F.lit(0).alias("short"), F.lit(0).alias("deep"), F.lit(None).cast("binary").alias("bytes"))
     sets, links, done = None, [], []
     for level in range(len(LIST_MAX) + 1):
         # Most elements stand in one set only: they go through two narrow shuffles and no further.
         post = _postings(state) if level else state.select(
-            "region", "id", "c", F.explode("delta").alias("h"), F.lit(OUTER).alias("kind"))
+            "region", "id", "c", F.when(F.col("core"), CORE).otherwise(DEEP).alias("kind"), F.posexplode("delta").alias("rank", "h")).withColumn(
+                "rank", F.col("rank") + 1)
         kinds = [F.count_if(F.col("kind") == k) for k in (CORE, OUTER, DEEP)]
         size = (kinds[0] + kinds[1]) * (kinds[0] + kinds[1] - 1) / 2 + kinds[0] * kinds[2]
         stats = post.groupBy("region", "h").agg(size.alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter(
@@ -274,7 +291,9 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
         regions = near.select("id", "nearest", F.explode("at").alias("at")).filter(
             (F.col("at.dist") <= F.col("nearest") + 2 * eps + 1e-9) & (F.col("at.p") != F.col("id"))).select(
                 F.col("id").alias("a"), F.col("at.p").alias("b")).distinct()
+        # As stars, the links so far need one more round only.
         known = components(reduce(DataFrame.unionByName, links))
+        links = [known.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))]
         members = measured.join(regions, ["a", "b"]).join(known, F.col("a") == F.col("node"), "left").select(
             F.col("b").alias("region"), F.col("a").alias("id"), F.coalesce("component", "a").alias("c"), "dn", "n",
             (-F.col("dn")).cast("double").alias("centre"), "delta", "bytes", F.col("linked").alias("core"), "short", "deep")
@@ -286,7 +305,7 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     none = spark.createDataFrame([], "a long, b long")
     known = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(reps.select("key", "rep"), "key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-    return known, reduce(DataFrame.unionByName, links, none).distinct()
+    return known, reduce(DataFrame.unionByName, links, none)
 
 
 def near_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:

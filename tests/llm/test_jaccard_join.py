@@ -89,3 +89,51 @@ def test_dedup(spark):
     assert left.columns == ["doc_id", "text", "n", "key"]
     keep = {c for i, _, c in brute(rows) if i is not None} | {None}
     assert {r.doc_id for r in left.collect()} == keep
+
+
+def compared_pairs(spark, monkeypatch, texts):
+    """The pairs of doc_ids that were compared, those without a pivot apart."""
+    seen, real = [], m._with_sets
+
+    def spy(pairs, sets, state):
+        seen.extend(pairs.select("a", "b", "pivot").collect())
+        return real(pairs, sets, state)
+
+    monkeypatch.setattr(m, "_with_sets", spy)
+    check(spark, [(i, t, 0, "k") for i, t in enumerate(texts)])
+    return [(r.a, r.b) for r in seen], [(r.a, r.b) for r in seen if not r.pivot]
+
+
+def test_texts_just_beyond_the_threshold_are_hardly_compared(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for j, at in enumerate(rng.sample(range(2, 148), 4)):
+            w[at] = f"x{i}_{j}"
+        texts.append(" ".join(w))
+    _, pairs = compared_pairs(spark, monkeypatch, texts)
+    assert len(pairs) < 60
+
+
+def test_texts_of_other_sizes_are_not_compared(spark, monkeypatch):
+    base = [f"b{i}" for i in range(400)]
+    texts = [" ".join(base[:20] + [f"x{i}_{j}" for j in range(int(12 * 1.4 ** i))]) for i in range(14)]
+    texts += family(7, 80, 20, 4)
+    pairs, _ = compared_pairs(spark, monkeypatch, texts)
+    assert pairs
+    for a, b in pairs:
+        n = sorted((len(gram_set(texts[a])), len(gram_set(texts[b]))))
+        assert n[0] >= 0.7 * n[1]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sizes_at_the_edge_of_a_band(spark, percent):
+    rows = []
+    for n in (10, 20, 40, 50, 81, 90, 100, 180, 200):
+        large = [f"t{n}_{i}" for i in range(n + 2)]
+        rows += [" ".join(large), " ".join(large[:n * percent // 100 + 2])]
+    rows = [(i, t, 0, "k") for i, t in enumerate(rows)]
+    out = m.near_groups(spark.createDataFrame(rows, DOCS), 3, percent)
+    assert sorted(map(tuple, out.collect()), key=str) == brute(rows, percent)
