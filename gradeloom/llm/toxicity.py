@@ -17,12 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import words as W
-from gradeloom.llm.storage import small_batches
+from gradeloom.llm.storage import scratch, stored
 
 BUCKETS = 1 << 17
 DIMS = 8
@@ -32,6 +31,7 @@ EPOCHS, LEAST_STEPS, BATCH, DECAY = 12, 240, 200, 3e-4
 LEAST_ROWS = 5  # buckets of fewer training rows have no weight: they would only tell rows apart
 THRESHOLD = 0.3
 SCALE = 300.0  # the mean is multiplied by it, which only changes the step size
+PART = 1 << 20  # entries of the sample that are looked at together
 EMPTY = 300.0  # subwords without weight that every mean includes: a text of three words is no sure case
 
 
@@ -124,8 +124,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.append(bag[ids[-1]].astype(np.float32))
             yield pa.RecordBatch.from_arrays([
                 pa.array(label[first:first + len(part)], pa.int32()),
-                pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
-                ["label", "ids", "counts"])
+                pa.array([np.array(x, np.int32).tobytes() for x in ids], pa.binary()),
+                pa.array([np.array(x, np.float32).tobytes() for x in counts], pa.binary())], ["label", "ids", "counts"])
 
 
 def fit_arrays(label: np.ndarray, cut: np.ndarray, ids: np.ndarray, share: np.ndarray, prior: float,
@@ -135,8 +135,11 @@ def fit_arrays(label: np.ndarray, cut: np.ndarray, ids: np.ndarray, share: np.nd
     emb = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
     out = rng.uniform(-0.5, 0.5, (DIMS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    used = np.bincount(ids, minlength=BUCKETS) >= LEAST_ROWS
-    share *= used[ids]
+    # In parts, as NumPy makes a wider copy of what it counts.
+    parts = range(0, len(ids), PART)
+    used = sum((np.bincount(ids[i:i + PART], minlength=BUCKETS) for i in parts), np.zeros(BUCKETS, np.int64)) >= LEAST_ROWS
+    for i in parts:
+        share[i:i + PART] *= used[ids[i:i + PART]]
     params, moments = [emb, out, bias], [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
     weight = (0.5 / np.maximum(np.bincount(label, minlength=2) / len(label), 1e-9))[label]  # classes count alike
     mixed = rng.permutation(len(label))
@@ -192,17 +195,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = S
     small = F.broadcast(spark.createDataFrame([(r.doc_id, r.label) for part in chosen for r in part],
                                                "doc_id long, label int"))  # no more rows than the sample
     picked = docs.select("doc_id", "text").join(small, "doc_id").select("label", "text")
-    with small_batches(spark):
-        table = picked.mapInArrow(_bags, "label int, ids array<int>, counts array<float>").toArrow()
-    # Chunk by chunk, so that the driver holds the sample once.
-    label = table["label"].to_numpy()
-    cut = np.concatenate([[0], np.cumsum(np.concatenate([[0], pc.list_value_length(table["ids"]).to_numpy()])[1:])]).astype(np.int64)
-    flat = lambda c: np.concatenate([np.zeros(0, c.type.value_type.to_pandas_dtype()), *[x.flatten().to_numpy() for x in c.chunks]])
-    ids, share = flat(table["ids"]), flat(table["counts"])
-    del table
-    size = np.diff(cut)
-    total = np.add.reduceat(np.append(share, np.float32(0)), np.minimum(cut[:-1], len(share))) if len(size) else size
-    share /= np.repeat(np.where(size > 0, total, 0).astype(np.float32) + np.float32(EMPTY), size)
+    with scratch(spark):
+        bags = stored(picked.mapInArrow(_bags, "label int, ids binary, counts binary").withColumn("row", F.monotonically_increasing_id()))
+        known = bags.select("row", "label", (F.octet_length("ids") / 4).cast("long").alias("n")).orderBy("row").collect()
+        label = np.array([r.label for r in known], np.int32)
+        size = np.array([r.n for r in known], np.int64)
+        cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        at = {r.row: i for i, r in enumerate(known)}
+        # One partition after another into arrays of the final size, so that the driver holds the sample once.
+        ids, share = np.empty(cut[-1], np.int32), np.zeros(cut[-1] + 1, np.float32)
+        for r in bags.select("row", "ids", "counts").toLocalIterator():
+            i = at[r.row]
+            ids[cut[i]:cut[i + 1]] = np.frombuffer(r.ids, np.int32)
+            share[cut[i]:cut[i + 1]] = np.frombuffer(r.counts, np.float32)
+    total = np.add.reduceat(share, cut[:-1]) if len(size) else size
+    total = np.where(size > 0, total, 0).astype(np.float32) + np.float32(EMPTY)
+    share = share[:-1]
+    for i in range(len(size)):
+        share[cut[i]:cut[i + 1]] /= total[i]
     prior = counts[1] / (counts[0] + counts[1])
     return fit_arrays(label, cut, ids, share, prior)
 

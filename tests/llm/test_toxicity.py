@@ -71,3 +71,18 @@ def test_drop_toxic_keeps_a_callers_score(spark):
     rows = kept.collect()
     assert rows and {(r.score, r._toxicity) for r in rows} == {("mine", 1)}
     assert len(rows) <= docs.count()
+
+
+def test_training_makes_no_copy_of_the_sample(monkeypatch):
+    import tracemalloc
+    monkeypatch.setattr(T, "EPOCHS", 1)
+    monkeypatch.setattr(T, "LEAST_STEPS", 1)
+    rng = np.random.default_rng(1)
+    rows, each = 6000, 2500
+    ids, share = rng.integers(0, T.BUCKETS, rows * each, np.int32), rng.random(rows * each, np.float32)
+    tracemalloc.start()
+    try:
+        T.fit_arrays(np.arange(rows) % 2, np.arange(rows + 1) * each, ids, share, 0.5)
+        assert tracemalloc.get_traced_memory()[1] < 8 * rows * each
+    finally:
+        tracemalloc.stop()
