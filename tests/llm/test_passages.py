@@ -226,3 +226,24 @@ def test_places_of_runs():
 def test_empty(spark):
     empty = spark.createDataFrame([], DOCS)
     assert suffix_dedup.repeated_passages(empty).collect() == [] and chain_dedup.fuzzy_passages(empty).collect() == []
+
+
+def test_stretches_leave_in_parts(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    texts = [[{"pos": 5 * i, "seed": int(x)} for i, x in enumerate(rng.integers(0, 40, n))] for n in (300, 0, 1, 200, 250)]
+    spans = [None, None, [], [{"first": 100, "last": 400}, {"first": 300, "last": 500}], []]
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(range(5), pa.int64()), pa.array(texts, pa.list_(pa.struct([("pos", pa.int64()), ("seed", pa.int64())]))),
+        pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], ["key", "seeds", "spans"])
+    want = set()
+    for key, (seeds, gone) in enumerate(zip(texts, spans)):
+        for i, one in enumerate(seeds):
+            for two in seeds[i + 1:]:
+                inside = any(one["pos"] >= a and two["pos"] + chain_dedup.K <= b for a, b in [(100, 500)]) if key == 3 else False
+                if 20 <= two["pos"] - one["pos"] <= 300 and not inside:
+                    want.add((key, one["seed"], two["seed"]))
+    monkeypatch.setattr(chain_dedup, "STRETCHES", 500, raising=False)
+    parts = list(chain_dedup._uncovered(20, 300, True)(iter([batch])))
+    assert {(r["key"], r["one"], r["two"]) for p in parts for r in p.to_pylist()} == want
+    assert all(p.num_rows <= 1500 for p in parts) and sum(p.num_rows for p in parts) > 3000
