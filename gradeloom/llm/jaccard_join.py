@@ -67,6 +67,15 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) % SKETCH  # 24 bits
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters below 256 take one byte each."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, np.uint8 if len(counts) == PART else np.int32)
+
+
 def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int32)
@@ -76,7 +85,7 @@ def _count(k: int):
         parts = total.reshape(-1, PART)
         used = np.flatnonzero(parts.any(1))
         for some in np.array_split(used, max(1, len(used) // 256)):
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[i].tobytes() for i in some], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_packed(parts[i]) for i in some], pa.binary())],
                                              ["part", "counts"])
     return run
 
@@ -84,7 +93,7 @@ def _count(k: int):
 def _add_up(rows: pa.Table) -> pa.Table:
     total = np.zeros(PART, np.int64)
     for c in rows["counts"]:
-        total += np.frombuffer(c.as_py(), np.int32)
+        total += _unpacked(c.as_py())
     return pa.table({"part": rows["part"][:1], "counts": pa.array([np.minimum(total, 2 ** 31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
 
@@ -237,10 +246,13 @@ def set_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     own = rows.join(reps.select("key", "rep"), "key").filter("doc_id = rep")
     # c: the component of a set by the links so far. Connected sets need not be compared.
     # A set meets those of its own size band and, as the smaller one, those of the next band.
-    band = F.lit(WHOLE) + F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) + BAND_SLACK))
-    smaller = F.expr(f"slice(prefix, 1, int(n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1))")
-    state = own.select(F.explode(F.array(F.struct(band.alias("region"), F.lit(True).alias("core"), F.col("prefix").alias("delta")),
-                                         F.struct((band + 1).alias("region"), F.lit(False).alias("core"), smaller.alias("delta")))).alias("s"),
+    width = math.log(100 / percent) + BAND_SLACK
+    band = F.floor(F.log(F.col("n").cast("double")) / width)
+    least = F.greatest(F.col("n") + 1.0, F.exp((band + 1) * width))  # elements of a set of the next band
+    shared = F.ceil(percent / (100 + percent) * (F.col("n") + least) - 1e-6)
+    smaller = F.slice("prefix", F.lit(1), F.greatest(F.lit(0), F.col("n") - shared + 1).cast("int"))
+    state = own.select(F.explode(F.array(F.struct((F.lit(WHOLE) + band).alias("region"), F.lit(True).alias("core"), F.col("prefix").alias("delta")),
+                                         F.struct((F.lit(WHOLE) + band + 1).alias("region"), F.lit(False).alias("core"), smaller.alias("delta")))).alias("s"),
                        F.col("rep").alias("id"), "n", "centre").select(
         "s.region", "id", F.col("id").alias("c"), F.col("n").alias("dn"), "n", "centre", "s.delta", "s.core",
         F.lit(0).alias("short"), F.lit(0).alias("deep"), F.lit(None).cast("binary").alias("bytes"))

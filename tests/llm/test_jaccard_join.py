@@ -137,3 +137,10 @@ def test_sizes_at_the_edge_of_a_band(spark, percent):
     rows = [(i, t, 0, "k") for i, t in enumerate(rows)]
     out = m.near_groups(spark.createDataFrame(rows, DOCS), 3, percent)
     assert sorted(map(tuple, out.collect()), key=str) == brute(rows, percent)
+
+
+def test_counters_keep_their_numbers():
+    for top in (0, 255, 256, 2 ** 31 - 1):
+        counts = m.np.zeros(m.PART, m.np.int32)
+        counts[[3, -1]] = top, top // 2
+        assert (m._unpacked(m._packed(counts)) == counts).all()
